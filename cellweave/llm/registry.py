@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,36 @@ def op5_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=4, bits=4)
 
 
+def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.secrets_link import digest
+
+    return digest(_read(spark, sf_dir, "documents"))
+
+
+def op6_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.warc_store import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages"), least=100)
+
+
+def op7_pstable_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.pstable import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op8_ftrl_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.langid import predict, train
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    docs = docs.withColumn("held_out", F.coalesce(out, F.lit(False)))
+    model = train(docs.where(~F.col("held_out")).select("text", "lang"))
+    return predict(docs, model, keep=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pow2_packing, op5_simhash_gph)}
+    return {f.__name__: f for f in (op1_pow2_packing, op4_secret_links, op5_simhash_gph, op6_warc_store, op7_pstable_embeddings, op8_ftrl_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

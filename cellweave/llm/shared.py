@@ -4,8 +4,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -81,3 +83,55 @@ def _written(pairs: DataFrame) -> tuple[DataFrame, tuple]:
     held = materialise(pairs, "edges")
     row = held.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return held, (row["n"], row["h"])
+
+
+def deal_blocks(rows: DataFrame, keys: list[str], spread: Column, block: int, filed: Column | None = None) -> DataFrame:
+    """Deal the rows of each bucket (keys) out as pairs of blocks (a, b), a <= b, with role 0 or 1.
+
+    A bucket of up to `block` filed rows is the one group (0, 0) of role 0. A larger one gets
+    ceil(rows / block) blocks, filled by the hash `spread`; each row goes to every pair that its block
+    is in, so all pairs of rows meet in some group and none is larger than about two blocks. Rows that
+    aren't filed only probe: they meet each block (b, b) once, with role 1.
+    """
+    filed = F.lit(True) if filed is None else filed
+    full = rows.where(filed).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > block).select(*keys, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    full = materialise(full, "hot-buckets")
+    few = full.limit(10_001).count() <= 10_000  # broadcast only then
+    dealt = rows.join(F.broadcast(full) if few else full, keys, "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = dealt.withColumn("home", F.pmod(spread, blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    a = F.when(filed, F.least("home", "other")).otherwise(F.col("other"))
+    b = F.when(filed, F.greatest("home", "other")).otherwise(F.col("other"))
+    role = F.when(filed, (F.col("home") > F.col("other")).cast("int")).otherwise(F.lit(1))
+    return dealt.select(*[c for c in rows.columns if c != "role"], a.alias("a"), b.alias("b"), role.alias("role"))
+
+
+class Forest:
+    """Union-find over positions."""
+
+    def __init__(self):
+        self.up: list[int] = []
+
+    def grow(self, n: int) -> None:
+        self.up += range(len(self.up), n)
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def links(self, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Those of the pairs (i, j) that join what wasn't joined before. Each round takes one pair for
+        each i, so a dense block costs a few rounds instead of a step for each of its pairs."""
+        while len(i):
+            nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            root = np.array([self.find(x) for x in nodes.tolist()])[at]
+            apart = root[: len(i)] != root[len(i) :]
+            i, j = i[apart], j[apart]
+            one, first = np.unique(i, return_index=True)
+            for x, y in zip(one.tolist(), j[first].tolist(), strict=True):
+                p, q = self.find(x), self.find(y)
+                if p != q:
+                    self.up[max(p, q)] = min(p, q)
+                    yield x, y

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import as_documents, connected_components, ensure_workers_import, materialise
+from cellweave.llm.shared import Forest, as_documents, connected_components, deal_blocks, ensure_workers_import, materialise
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
@@ -195,66 +195,52 @@ def _signed(x: int) -> int:
 
 def _signatures(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     """A row (part, key, role, fp, ...) per partition (role 0: filed) and per flip of up to t bits (role 1)."""
-    rows = []
+    probes = []
     for part, (group, t) in enumerate(plan):
-        mask = sum(1 << b for b in group)
+        mask = F.lit(_signed(sum(1 << b for b in group))).cast("long").alias("mask")
         for d in range(t + 1):
-            rows += [f"({part},{_signed(mask)}L,{_signed(sum(1 << b for b in flip))}L,{int(d > 0)})" for flip in itertools.combinations(group, d)]
-    rows = [r.replace("-9223372036854775808L", "(-9223372036854775807L-1L)") for r in rows]
-    spark = fps.sparkSession
-    probes = spark.sql("SELECT collect_list(struct(part, mask, flip, role)) AS probes FROM VALUES " + ",".join(rows) + " AS t(part, mask, flip, role)").first()["probes"]
-    table = F.array(*[F.struct(F.lit(p["part"]).alias("part"), F.lit(p["mask"]).cast("long").alias("mask"), F.lit(p["flip"]).cast("long").alias("flip"), F.lit(p["role"]).alias("role")) for p in probes])
-    return fps.select("*", F.explode(table).alias("s")).select(F.col("s.part").alias("part"), F.col("fp").bitwiseAND(F.col("s.mask")).bitwiseXOR(F.col("s.flip")).alias("key"), F.col("s.role").alias("role"), *fps.columns)
+            for flip in itertools.combinations(group, d):
+                probes.append(F.struct(F.lit(part).alias("part"), mask, F.lit(_signed(sum(1 << b for b in flip))).cast("long").alias("flip"), F.lit(int(d > 0)).alias("role")))
+    return fps.select("*", F.explode(F.array(*probes)).alias("s")).select(F.col("s.part").alias("part"), F.col("fp").bitwiseAND(F.col("s.mask")).bitwiseXOR(F.col("s.flip")).alias("key"), F.col("s.role").alias("role"), *fps.columns)
 
 
-class Forest:
-    """Union-find over positions; tells which links are new."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
-
-
-def _verify(bits: int, wide_bits: int, wide: int, x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= bits)
-    if wide and len(i):
-        ok = np.bitwise_count(wx[i] ^ wy[j]).sum(1, dtype=np.int64) <= wide_bits
-        i, j = i[ok], j[ok]
-    return i, j
+_TILE = 1024
 
 
 def _links_of(batches: Iterator[pa.RecordBatch], bits: int, wide: int, wide_bits: int) -> Iterator[pa.RecordBatch]:
     """A sorted stream of (part, key, a, b, role, fp, wide) to links: filed rows first, then those
-    that probe. Filed rows of one group are held (at most a block or so), the others stream by."""
-    group, filed, wfiled, forest, out = None, np.zeros(0, "<u8"), np.zeros((0, wide), "<u8"), None, ([], [])
-    extra: dict[int, int] = {}
+    that probe. Filed rows of one group are held (about a block at most), the others stream by."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    group, filed, wfiled, forest, probing = None, np.zeros(0, "<u8"), np.zeros((0, wide), "<u8"), Forest(), {}
+    out: tuple[list, list] = ([], [])
+
+    def compare(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, first: int | None) -> None:
+        """Links between x, all that is filed, and y; first: y's position in x, None for probing rows."""
+        for r in range(0, len(x), _TILE):
+            for s in range(0, len(y), _TILE):
+                p, q = x[r : r + _TILE], y[s : s + _TILE]
+                i, j = np.nonzero(np.bitwise_count(p[:, None] ^ q[None, :]) <= bits)
+                other = p[i] != q[j]
+                i, j = i[other], j[other]
+                if wide and len(i):
+                    near = np.bitwise_count(wx[r : r + _TILE][i] ^ wy[s : s + _TILE][j]).sum(1, dtype=np.int64) <= wide_bits
+                    i, j = i[near], j[near]
+                if not len(i):
+                    continue
+                if first is None:
+                    where = np.zeros(len(q), dtype=np.int64)
+                    for k in np.unique(j).tolist():
+                        where[k] = probing.setdefault(int(q[k]), len(forest.up))
+                        forest.grow(int(where[k]) + 1)
+                    at = where[j]
+                else:
+                    at = j + s + first
+                value = dict(zip(at.tolist(), q[j].tolist(), strict=True))
+                for a, b in forest.links(i + r, at):
+                    out[0].append(int(x[a]))
+                    out[1].append(value[b])
 
-    def take(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, same: bool, base: int) -> None:
-        for r in range(0, len(x), 1024):
-            for s in range(r if same else 0, len(y), 1024):
-                i, j = _verify(bits, wide_bits, wide, x[r : r + 1024], y[s : s + 1024], wx[r : r + 1024], wy[s : s + 1024])
-                i, j = i + r, j + s
-                if same:
-                    i, j = i[i < j], j[i < j]
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    if x[p] != y[q] and (forest.join(p, q) if same else _fresh(forest, extra, p, int(y[q]), len(x))):
-                        out[0].append(x[p])
-                        out[1].append(y[q])
-
-    def flush():
+    def flush() -> pa.RecordBatch:
         b = pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype="<u8").view("<i8"), pa.int64()) for c in out], schema=schema)
         out[0].clear()
         out[1].clear()
@@ -263,79 +249,47 @@ def _links_of(batches: Iterator[pa.RecordBatch], bits: int, wide: int, wide_bits
     for batch in batches:
         if not batch.num_rows:
             continue
-        part, key, a, b, role, fp = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(6))
+        part, key, a, b, role, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         fp = fp.astype("<i8").view("<u8")
         w = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u8").reshape(-1, wide) if wide else np.zeros((len(fp), 0), "<u8")
         cut = np.nonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (role[1:] != role[:-1]))[0] + 1
         for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(fp)], strict=True):
             now = (part[lo], key[lo], a[lo], b[lo])
             if now != group:
-                group, filed, wfiled, forest = now, np.zeros(0, "<u8"), np.zeros((0, wide), "<u8"), None
-                extra.clear()
+                group, filed, wfiled, forest = now, np.zeros(0, "<u8"), np.zeros((0, wide), "<u8"), Forest()
+                probing.clear()
             x, wx = fp[lo:hi], w[lo:hi]
             if role[lo] == 0:
-                old, wold = filed, wfiled
-                filed, wfiled = np.concatenate([old, x]), np.concatenate([wold, wx])
-                if a[lo] == b[lo]:
-                    forest = Forest(len(filed)) if forest is None else _grown(forest, len(filed))
-                    if len(filed) > 1:
-                        take(filed, filed, wfiled, wfiled, True, 0)
-                else:
-                    forest = Forest(len(filed))
+                n = len(filed)
+                filed, wfiled = np.concatenate([filed, x]), np.concatenate([wfiled, wx])
+                forest.grow(len(filed))
+                if a[lo] == b[lo] and len(filed) > 1:
+                    compare(filed, wfiled, x, wx, n)
             elif len(filed):
-                take(filed, x, wfiled, wx, False, len(filed))
+                compare(filed, wfiled, x, wx, None)
             if len(out[0]) > 50_000:
                 yield flush()
     if out[0]:
         yield flush()
 
 
-def _grown(forest: Forest, n: int) -> Forest:
-    forest.up += range(len(forest.up), n)
-    return forest
-
-
-def _fresh(forest: Forest, extra: dict[int, int], p: int, fp: int, base: int) -> bool:
-    """Whether the filed row p and the probing fingerprint fp weren't joined before."""
-    at = extra.get(fp)
-    if at is None:
-        at = extra[fp] = len(forest.up)
-        forest.up.append(at)
-    return forest.join(p, at)
-
-
 def links(fps: DataFrame, bits: int, wide: int = 0, wide_bits: int = 0, block: int = 4096, plan: list | None = None) -> DataFrame:
     """Links (a, b) that join all fingerprints within `bits` (and, with wide, within wide_bits of the
-    wide part), from distinct rows (fp, wide). A spanning forest per bucket: enough for groups."""
+    wide part), from rows (fp, wide) with distinct fp. A spanning forest per bucket: enough for groups."""
     n, both = bit_counts(fps)
     plan = plan or plan_partitions(n, both, bits)
-    sigs = _signatures(fps, plan)
-    full = sigs.where("role = 0").groupBy("part", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > block).select("part", "key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
-    full = materialise(full, "hot-buckets")
-    few = full.limit(10_001).count() <= 10_000  # only then it's broadcast
-    dealt = sigs.join(F.broadcast(full) if few else full, ["part", "key"], "left")
-    home = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int")
-    dealt = dealt.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    filed = F.col("role") == 0
-    dealt = dealt.select(
-        "part", "key",
-        F.when(filed, F.least("home", "other")).otherwise(F.col("other")).alias("a"),
-        F.when(filed, F.greatest("home", "other")).otherwise(F.col("other")).alias("b"),
-        F.when(filed, (F.col("home") > F.col("other")).cast("int")).otherwise(F.lit(1)).alias("role"), "fp", "wide",
-    )
+    dealt = deal_blocks(_signatures(fps, plan), ["part", "key"], F.xxhash64("fp"), block, F.col("role") == 0).select("part", "key", "a", "b", "role", "fp", "wide")
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return dealt.repartition(parts, "part", "key", "a", "b").sortWithinPartitions("part", "key", "a", "b", "role").mapInArrow(lambda it: _links_of(it, bits, wide, wide_bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, wide: int = 0, wide_bits: int = 0, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) per row of docs; component_id: the smallest reachable doc_id."""
+    """(doc_id, fingerprint, component_id) per row of docs; component_id: the smallest reachable doc_id.
+    Rows with equal fingerprints are one node, whatever their wide parts."""
     prints = materialise(fingerprints(docs, words, wide, id_col, text_col), "fingerprints")
-    nodes = materialise(prints.groupBy("fp", "wide").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.col("fp") if not wide else F.xxhash64("fp", "wide")), "nodes")
-    if wide:
-        raise_if_clash(nodes)
-    found = links(nodes.select("fp", "wide"), bits, wide, wide_bits, block)
-    roots = connected_components(found)
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "wide", "least_id", F.coalesce("root", "fp").alias("root"))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("wide").alias("wide"), F.min("doc_id").alias("least_id")), "nodes")
+    roots = connected_components(links(nodes.select("fp", "wide"), bits, wide, wide_bits, block))
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(low, "root").select("fp", "wide", "component_id")
-    return prints.join(named, ["fp", "wide"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = named.join(low, "root").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
