@@ -11,8 +11,13 @@ bounded parts cut only where the vocabulary's pattern always cuts.
 """
 from __future__ import annotations
 
+import functools
+import json
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,74 +27,132 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.shared import as_documents, ensure_workers_import
 
-#: Between a character that isn't white space and a space or line feed that stands alone the
-#: pattern of the byte-level vocabulary always cuts; anything else goes to the tokenizer whole.
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|[\x1c-\x1f\x85]|\A\s|\s\Z")
 _PART = 200_000
+_CUT = re.compile(r"(?<=\S)[ \n]")
+
+
+def _byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _fast_encoder(path: str):
+    """The same vocabulary and pattern in tiktoken, if the file is a byte-level BPE whose merges are in
+    the order of their ids (then both give the same ids); else None."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    if model.get("ignore_merges") or model.get("byte_fallback") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    vocab = model["vocab"]
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in merged or any(x >= y for x, y in zip(merged, merged[1:], strict=False)):
+        return None
+    of = _byte_of_char()
+    ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if t not in special}
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class CachedTokenizer:
-    """ids as little-endian unsigned 32-bit bytes, by `tokenizers`, each distinct word once.
+    """ids of a text as little-endian unsigned 32-bit bytes, each distinct word encoded once.
 
+    The pattern of the byte-level vocabulary always cuts between a character that isn't white space
+    and a space or line feed, and on both sides of a line feed that stands alone between two of them.
+    So a text falls apart into words (with the space before them); texts where a word begins or ends
+    with other white space, or is empty, are encoded whole. Special tokens' strings are ordinary text.
     The memory is bounded: the cache is emptied when it holds `most` words.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
-        import os
-
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        fast = _fast_encoder(path)
+        if fast:
+            self._ids = fast.encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(path)
+            tok.encode_special_tokens = True
+            self._ids = lambda text: tok.encode(text, add_special_tokens=False).ids
+        self.most, self.spaced, self.plain, self.words = most, {}, {}, fast is not None
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.most, self.known = most, {}
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._ids(text), dtype="<u4").tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 256):
-            out += [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
-        return out
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not self.words:
+            return self._whole(text)
+        return b"".join(self._part(p, i > 0) for i, p in enumerate(self._parts(text)))
 
     def _parts(self, text: str) -> Iterator[str]:
-        """Bounded parts, cut before a space or line feed that follows a non-space character."""
+        """Parts of bounded size (if there is any white space), cut before a space or line feed."""
         at = 0
-        while len(text) - at > _PART:
-            m = re.compile(r"(?<=\S)[ \n]").search(text, at + _PART)
-            if not m:
-                break
+        while len(text) - at > _PART and (m := _CUT.search(text, at + _PART)):
             yield text[at : m.start()]
             at = m.start()
         yield text[at:]
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(self._part(p) for p in self._parts(text)) if text else b""
-
-    def _part(self, text: str) -> bytes:
-        lead = ""
-        if text[:1] == " " and text[1:2] not in ("", " ", "\n"):
-            lead, text = " ", text[1:]
-        if _ODD.search(text):
-            return self._encode([lead + text])[0]
-        words = text.replace("\n", " \n ").split(" ")
-        # "x \n y" -> x, "\n", y: a word after a line feed has no leading space
-        spaced = [" " + w for w in words]
-        spaced[0] = lead + words[0]
-        if "\n" in text:
-            for i, w in enumerate(words):
-                if w == "\n":
-                    spaced[i] = w
-                    if i + 1 < len(words):
-                        spaced[i + 1] = words[i + 1]
-        known = self.known
-        try:
-            return b"".join([known[w] for w in spaced])
-        except KeyError:
-            new = [w for w in dict.fromkeys(spaced) if w not in known]
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(dict.fromkeys(spaced))
-            known.update(zip(new, self._encode(new), strict=True))
-            return b"".join([known[w] for w in spaced])
+    def _part(self, text: str, later: bool) -> bytes:
+        out: list[bytes] = []
+        for n, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            if later and not n and not words[0] and len(words) > 1:  # a part that begins with its space
+                first: bytes | None = b""
+            else:
+                first = self.plain.get(words[0])
+            if n:
+                out.append(self._one("\n"))
+            elif later and not words[0] and len(words) == 1:
+                first = b""
+            out.append(first)
+            found = list(map(self.spaced.get, words[1:]))
+            if first is None or None in found:
+                if first is None:
+                    first = out[-1] = self._add(self.plain, words[0], words[0])
+                for i, ids in enumerate(found):
+                    if ids is None:
+                        found[i] = self._add(self.spaced, words[i + 1], " " + words[i + 1])
+                if first is None or None in found:
+                    return self._whole(text)
+            out += found
+        return b"".join(out)
+
+    def _one(self, text: str) -> bytes:
+        ids = self.plain.get(text)
+        if ids is None:
+            ids = self.plain[text] = self._whole(text)
+        return ids
+
+    def _add(self, known: dict[str, bytes], word: str, text: str) -> bytes | None:
+        """None if the word doesn't stand alone."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        if word in known:
+            return known[word]
+        if len(self.spaced) + len(self.plain) >= self.most:
+            self.spaced.clear()
+            self.plain.clear()
+        ids = known[word] = array("I", self._ids(text)).tobytes() if _LITTLE else self._whole(text)
+        return ids
+
+
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
+@functools.cache
+def _tokenizer(path: str) -> CachedTokenizer:
+    """One for each worker process, which Spark uses for many tasks."""
+    return CachedTokenizer(path)
 
 
 def cut_lengths(n: int, longest: int) -> list[int]:
@@ -120,7 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, closing_id:
     ensure_workers_import(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = CachedTokenizer(tokenizer_path)
+        tok = _tokenizer(tokenizer_path)
         end = np.array([closing_id], dtype="<u4").tobytes()
         cols: list[list] = [[] for _ in range(6)]
         held = 0
