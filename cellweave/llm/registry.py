@@ -26,6 +26,25 @@ def op5_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=4, bits=4)
 
 
+def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.crf_quality import score, train
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False)))
+    model = train(docs.where(~F.col("held_out")), _read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return score(docs, model, keep=["doc_id", "held_out"])
+
+
+#: Fixed values of the query's rules.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op3_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.url_templates import judge
+
+    return judge(_read(spark, sf_dir, "pages"), RULES)
+
+
 def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellweave.llm.secrets_link import digest
 
@@ -54,8 +73,21 @@ def op8_ftrl_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op9_pigeonhole_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.decontam import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.licenses import scan, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return scan(docs, train(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pow2_packing, op4_secret_links, op5_simhash_gph, op6_warc_store, op7_pstable_embeddings, op8_ftrl_langid)}
+    return {f.__name__: f for f in (op1_pow2_packing, op2_crf_quality, op3_url_template_tree, op4_secret_links, op5_simhash_gph, op6_warc_store, op7_pstable_embeddings, op8_ftrl_langid, op9_pigeonhole_decontam, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
