@@ -90,5 +90,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pow2_packing, op2_crf_quality, op3_url_template_tree, op4_secret_links, op5_simhash_gph, op6_warc_store, op7_pstable_embeddings, op8_ftrl_langid, op9_pigeonhole_decontam, op10_license_scan)}
 
 
+_OP6 = """
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha256(coalesce(html, '')) AS g FROM pages),
+f AS (SELECT g, min(page_id) AS first FROM d GROUP BY 1)
+SELECT page_id, b::BIGINT AS payload_bytes, g AS payload_digest,
+  CASE WHEN b >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN b >= 100 AND page_id <> first THEN first END AS refers_to
+FROM d JOIN f USING (g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries train models, hash or search in ways SQL can't express: tests/llm compares
+    them with brute force, round trips and held-out labels."""
+    return {"op6_warc_store": _OP6}
