@@ -209,7 +209,7 @@ class Network:
         self.biases: dict[str, DataFrame] = {}
         for x in spec.layers:
             for s in x.sources:
-                grid = spark.range(self.widths[s]).select(F.col("id").alias("src")).withColumn("dst", F.explode(F.sequence(F.lit(0), F.lit(self.widths[x.name] - 1))).cast("bigint"))
+                grid = spark.range(self.widths[s]).select(F.col("id").alias("src")).withColumn("dst", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.widths[x.name] - 1).cast("bigint"))))
                 w = weight_init(x.scheme, F.col("src"), F.col("dst"), self.widths[s], self.widths[x.name], x.scale, seed)
                 self.weights[s, x.name] = _kept(grid.select("src", "dst", w.alias("w"), F.lit(0.0).alias("v"), F.lit(0.0).alias("vg")))
             if x.kind != "input":
