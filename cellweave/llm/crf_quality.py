@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import ensure_workers_import
+from cellweave.llm.shared import as_documents, ensure_workers_import, kept_and_text, pick
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -168,7 +168,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: float = 0.
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_lines: int = 2000) -> QualityModel | float:
     """From docs(doc_id, text) and labels(doc_id, quality): at most per_class documents of each label."""
     ensure_workers_import(docs.sparkSession)
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("y"))
+    known = pick(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     total = sum(counts.values())
     if len(counts) < 2:
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_lines:
                     ns.append(n.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(xs, pa.binary()), pa.array(ns, pa.binary())], names=["y", "x", "n"])
 
-    sample = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y").limit(8 * per_class)
+    sample = as_documents(docs).join(F.broadcast(picked), "doc_id").select("text", "y").limit(8 * per_class)
     got = sorted(sample.mapInArrow(run, "y int, x binary, n binary").collect(), key=lambda r: (bytes(r["x"][:200]), len(r["x"])))
     if len({r["y"] for r in got}) < 2:
         return counts.get(1, 0) / total
@@ -207,7 +207,8 @@ def score(docs: DataFrame, model: QualityModel | float, cut: float = 0.3, keep:
     keep = [id_col] if keep is None else keep
     ensure_workers_import(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*[docs[c] for c in keep]).schema.add("score", "double").add("predicted", "integer")
+    rows = kept_and_text(docs, keep, text_col)
+    schema = rows.drop("__text").schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -227,4 +228,4 @@ def score(docs: DataFrame, model: QualityModel | float, cut: float = 0.3, keep:
                 s = np.concatenate(s) if s else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 
-    return docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

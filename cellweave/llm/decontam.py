@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import ensure_workers_import
+from cellweave.llm.shared import ensure_workers_import, kept_and_text, pick
 
 
 def folded(text: str | None) -> str:
@@ -126,7 +126,7 @@ def _blocks(benchmark: DataFrame, most_bytes: int, item_col: str, item_text_col:
     """The items as broadcasts of at most about most_bytes."""
     spark = benchmark.sparkSession
     ensure_workers_import(spark)
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("text IS NOT NULL")
+    items = pick(benchmark, item_col, item_text_col).toDF("item_id", "text").select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / most_bytes))
     for b in range(blocks):
@@ -138,8 +138,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, leas
     """A row for each document row and item found in it: columns of `keep` (default: the id), item_id,
     distance, start, end."""
     keep = [id_col] if keep is None else keep
-    rows = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("__text"))
-    schema = docs.select(*[docs[c] for c in keep]).schema.add("item_id", "long").add("distance", "integer").add("start", "long").add("end", "long")
+    rows = kept_and_text(docs, keep, text_col)
+    schema = rows.drop("__text").schema.add("item_id", "long").add("distance", "integer").add("start", "long").add("end", "long")
     out = None
     for held in _blocks(benchmark, most_bytes, item_col, item_text_col):
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import ensure_workers_import
+from cellweave.llm.shared import ensure_workers_import, kept_and_text, pick
 
 _PART = 1 << 18
 _STEP = np.uint32(0x9E3779B1)
@@ -106,7 +106,7 @@ def _sample(rows: DataFrame, per_class: int, orders: tuple[int, ...], width: int
     cut = F.lit(0)
     for r in counts:
         cut = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, per_class / r["count"]) * scale))).otherwise(cut)
-    picked = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(scale)) < cut)
+    picked = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(scale)) < cut).dropDuplicates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +134,7 @@ def train(labelled: DataFrame, per_class: int = 400, orders: tuple[int, ...] = (
     if width & (width - 1):
         raise ValueError("width must be a power of two")
     ensure_workers_import(labelled.sparkSession)
-    rows = labelled.select(labelled["text"].alias("text"), labelled["lang"].alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = pick(labelled, "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     labels, sample = _sample(rows, per_class, orders, width, most_classes)
     if not sample:
         return None
@@ -184,8 +184,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     ensure_workers_import(docs.sparkSession)
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
-    rows = docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text"))
-    schema = docs.select(*[docs[c] for c in keep]).schema.add("lang_pred", "string").add("score", "double")
+    rows = kept_and_text(docs, keep, text_col)
+    schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import ensure_workers_import
+from cellweave.llm.shared import ensure_workers_import, kept_and_text, pick
 
 #: Usual notices of public licences, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -201,8 +201,8 @@ def train(docs: DataFrame | None = None, per_template: int = 60, corpus_lines: i
     data = list(_examples(rng, per_template))
     if docs is not None:
         ensure_workers_import(docs.sparkSession)
-        line = F.element_at(F.split(docs[text_col].cast("string"), "\n"), 1)
-        plain = docs.select(line.alias("line")).where(~F.lower("line").rlike("|".join(ANCHORS)) & F.length("line").between(1, 4000)).limit(corpus_lines)
+        line = F.element_at(F.split(F.col(text_col).cast("string"), "\n"), 1)
+        plain = pick(docs, text_col).select(line.alias("line")).where(~F.lower("line").rlike("|".join(ANCHORS)) & F.length("line").between(1, 4000)).limit(corpus_lines)
         data += [("unknown", [w for w, _, _ in words_of(r["line"])][:window]) for r in plain.collect()]
     families = [*sorted(TEMPLATES), "unknown"]
     vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(grams(t.split()) for ts in TEMPLATES.values() for t in ts), LEGAL)))}
@@ -248,7 +248,8 @@ def scan(docs: DataFrame, model: LicenseModel, least: float = 0.5, shared: float
     keep = [id_col] if keep is None else keep
     ensure_workers_import(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*[docs[c] for c in keep]).schema.add("line", "long").add("family", "string").add("score", "double").add("similarity", "double").add("start", "long").add("end", "long")
+    rows = kept_and_text(docs, keep, text_col)
+    schema = rows.drop("__text").schema.add("line", "long").add("family", "string").add("score", "double").add("similarity", "double").add("start", "long").add("end", "long")
     types = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,4 +263,4 @@ def scan(docs: DataFrame, model: LicenseModel, least: float = 0.5, shared: float
             kept = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]]
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array([f[k] for f in found], t) for k, t in enumerate(types)]], names=[*batch.schema.names[:-1], "line", "family", "score", "similarity", "start", "end"])
 
-    return docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import Forest, connected_components, deal_blocks, ensure_workers_import, materialise
+from cellweave.llm.shared import Forest, connected_components, deal_blocks, ensure_workers_import, materialise, pick
 
 _TILE = 1024
 
@@ -180,6 +180,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     ensure_workers_import(spark)
     single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
     kind = "<f4" if single else "<f8"
+    vectors = pick(vectors, id_col, vec_col)
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].cast(f"array<{'float' if single else 'double'}>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))

@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm.shared import kept_and_text
+
 #: Patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -79,7 +81,7 @@ def scan(docs: DataFrame, scope: int = 160, id_col: str = "doc_id", text_col: st
     """Columns of `keep` (default: the id) with base and all: arrays of (start, rank, end), rank an
     index into KINDS, in order of start, then of kind."""
     keep = [id_col] if keep is None else keep
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("kept"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    rows = kept_and_text(docs, keep, text_col).select(F.struct(*keep).alias("kept"), F.coalesce("__text", F.lit("")).alias("text"))
     base = "concat(" + ",".join((_spans("text", ASSIGN, 0, group=2, least=6), _spans("text", ACCESS, 1), _spans("text", HEX, 2))) + ")"
     rows = rows.withColumn("base", F.array_sort(F.expr(base)))
     weak = "concat(" + ",".join((_spans("text", WEAK_ID, 3), _spans("text", OPAQUE, 4), _spans("text", ENDPOINT, 5))) + ")"
@@ -119,7 +121,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", scope: int = 160, text_col:
     """docs with every found span of the text replaced by the mask; other columns, and texts without
     findings, as they are. Overlapping spans are replaced as one."""
     columns = docs.columns
-    plain = docs.select([docs[c].alias(f"c{i}") for i, c in enumerate(columns)])
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     at = columns.index(text_col)
     found = scan(plain, scope, text_col=f"c{at}", keep=plain.columns)
     merged = f"""aggregate(all_spans, named_struct('at', 1L, 'out', ''),
@@ -128,4 +130,4 @@ def redact(docs: DataFrame, mask: str = "[secret]", scope: int = 160, text_col:
         ELSE named_struct('at', s.end + 1, 'out', concat(acc.out, substring(c{at}, cast(acc.at AS int), cast(s.start + 1 - acc.at AS int)), '{mask}')) END,
       acc -> concat(acc.out, substring(c{at}, cast(acc.at AS int))))"""
     text = F.when(F.size("all_spans") > 0, F.expr(merged)).otherwise(F.col(f"c{at}"))
-    return found.select([(text if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)])
+    return found.select([text if i == at else F.col(f"c{i}") for i in range(len(columns))]).toDF(*columns)

@@ -46,9 +46,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The first columns of just these names, in this order. Found by place, so further columns whose
+    names are equal, or equal but for case, don't matter."""
+    at = [df.columns.index(n) for n in names]
+    placed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return placed.select(*[f"c{i}" for i in at]).toDF(*names)
+
+
+def kept_and_text(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """The columns of keep, then the text as `__text`."""
+    at = [docs.columns.index(n) for n in [*keep, text_col]]
+    placed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return placed.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at[:-1], keep, strict=True)], F.col(f"c{at[-1]}").cast("string").alias("__text"))
+
+
 def as_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so extra columns of any name can't clash."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

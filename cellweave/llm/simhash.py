@@ -64,10 +64,10 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, wide: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, wide): fp is the fingerprint as a signed long; wide has 8*wide bytes of further
-    fingerprints from mixed hashes, for a finer estimate of the angle (empty when wide is 0)."""
+    """(doc_id, fp, wide): fp is the fingerprint as a signed long; wide holds `wide` further ones, from
+    mixed hashes, for a finer estimate of the angle."""
     ensure_workers_import(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("wide", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, words: int = 4, wide: int = 0, id_col: str = "
                 text = text.as_py()
                 if not wide:
                     fps.append(_majority(shingle_hashes(text, words)))
-                    more.append(b"")
+                    more.append([])
                     continue
                 ones, n = np.zeros((wide + 1, 64), dtype=np.int64), 0
                 for h in shingle_hashes(text, words):
@@ -85,10 +85,10 @@ def fingerprints(docs: DataFrame, words: int = 4, wide: int = 0, id_col: str = "
                         ones[k] += np.unpackbits((mixed(h, k) if k else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 packed = np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel() if n else np.zeros(wide + 1, "<u8")
                 fps.append(int(packed[0]))
-                more.append(packed[1:].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype="<u8").view("<i8"), pa.int64()), pa.array(more, pa.binary())], schema=schema)
+                more.append(packed[1:].view("<i8").tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype="<u8").view("<i8"), pa.int64()), pa.array(more, pa.list_(pa.int64()))], schema=schema)
 
-    return as_documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, wide binary")
+    return as_documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, wide array<long>")
 
 
 # ---------------------------------------------------------------- the plan of partitions
@@ -208,40 +208,41 @@ _TILE = 1024
 
 
 def _links_of(batches: Iterator[pa.RecordBatch], bits: int, wide: int, wide_bits: int) -> Iterator[pa.RecordBatch]:
-    """A sorted stream of (part, key, a, b, role, fp, wide) to links: filed rows first, then those
-    that probe. Filed rows of one group are held (about a block at most), the others stream by."""
+    """A sorted stream of (part, key, a, b, role, fp, node, wide) to links of nodes: filed rows first,
+    then those that probe. Filed rows of one group are held (about a block at most), the others stream by."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    group, filed, wfiled, forest, probing = None, np.zeros(0, "<u8"), np.zeros((0, wide), "<u8"), Forest(), {}
+    none = (np.zeros(0, "<u8"), np.zeros(0, "<i8"), np.zeros((0, wide), "<u8"))
+    group, filed, forest, probing = None, none, Forest(), {}
     out: tuple[list, list] = ([], [])
 
-    def compare(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, first: int | None) -> None:
+    def compare(x: tuple, y: tuple, first: int | None) -> None:
         """Links between x, all that is filed, and y; first: y's position in x, None for probing rows."""
-        for r in range(0, len(x), _TILE):
-            for s in range(0, len(y), _TILE):
-                p, q = x[r : r + _TILE], y[s : s + _TILE]
+        for r in range(0, len(x[0]), _TILE):
+            for s in range(0, len(y[0]), _TILE):
+                (p, pn, pw), (q, qn, qw) = (v[r : r + _TILE] for v in x), (v[s : s + _TILE] for v in y)
                 i, j = np.nonzero(np.bitwise_count(p[:, None] ^ q[None, :]) <= bits)
-                other = p[i] != q[j]
+                other = pn[i] != qn[j]
                 i, j = i[other], j[other]
                 if wide and len(i):
-                    near = np.bitwise_count(wx[r : r + _TILE][i] ^ wy[s : s + _TILE][j]).sum(1, dtype=np.int64) <= wide_bits
+                    near = np.bitwise_count(pw[i] ^ qw[j]).sum(1, dtype=np.int64) <= wide_bits
                     i, j = i[near], j[near]
                 if not len(i):
                     continue
                 if first is None:
                     where = np.zeros(len(q), dtype=np.int64)
                     for k in np.unique(j).tolist():
-                        where[k] = probing.setdefault(int(q[k]), len(forest.up))
+                        where[k] = probing.setdefault(int(qn[k]), len(forest.up))
                         forest.grow(int(where[k]) + 1)
                     at = where[j]
                 else:
                     at = j + s + first
-                value = dict(zip(at.tolist(), q[j].tolist(), strict=True))
+                value = dict(zip(at.tolist(), qn[j].tolist(), strict=True))
                 for a, b in forest.links(i + r, at):
-                    out[0].append(int(x[a]))
+                    out[0].append(int(x[1][a]))
                     out[1].append(value[b])
 
     def flush() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype="<u8").view("<i8"), pa.int64()) for c in out], schema=schema)
+        b = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
         out[0].clear()
         out[1].clear()
         return b
@@ -249,24 +250,24 @@ def _links_of(batches: Iterator[pa.RecordBatch], bits: int, wide: int, wide_bits
     for batch in batches:
         if not batch.num_rows:
             continue
-        part, key, a, b, role, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        part, key, a, b, role, fp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
         fp = fp.astype("<i8").view("<u8")
-        w = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u8").reshape(-1, wide) if wide else np.zeros((len(fp), 0), "<u8")
+        w = batch.column(7).flatten().to_numpy(zero_copy_only=False).astype("<i8").view("<u8").reshape(-1, wide) if wide else np.zeros((len(fp), 0), "<u8")
         cut = np.nonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (role[1:] != role[:-1]))[0] + 1
         for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(fp)], strict=True):
             now = (part[lo], key[lo], a[lo], b[lo])
             if now != group:
-                group, filed, wfiled, forest = now, np.zeros(0, "<u8"), np.zeros((0, wide), "<u8"), Forest()
+                group, filed, forest = now, none, Forest()
                 probing.clear()
-            x, wx = fp[lo:hi], w[lo:hi]
+            x = (fp[lo:hi], node[lo:hi], w[lo:hi])
             if role[lo] == 0:
-                n = len(filed)
-                filed, wfiled = np.concatenate([filed, x]), np.concatenate([wfiled, wx])
-                forest.grow(len(filed))
-                if a[lo] == b[lo] and len(filed) > 1:
-                    compare(filed, wfiled, x, wx, n)
-            elif len(filed):
-                compare(filed, wfiled, x, wx, None)
+                n = len(filed[0])
+                filed = tuple(np.concatenate([u, v]) for u, v in zip(filed, x, strict=True))
+                forest.grow(len(filed[0]))
+                if a[lo] == b[lo] and len(filed[0]) > 1:
+                    compare(filed, x, n)
+            elif len(filed[0]):
+                compare(filed, x, None)
             if len(out[0]) > 50_000:
                 yield flush()
     if out[0]:
@@ -274,21 +275,30 @@ def _links_of(batches: Iterator[pa.RecordBatch], bits: int, wide: int, wide_bits
 
 
 def links(fps: DataFrame, bits: int, wide: int = 0, wide_bits: int = 0, block: int = 4096, plan: list | None = None) -> DataFrame:
-    """Links (a, b) that join all fingerprints within `bits` (and, with wide, within wide_bits of the
-    wide part), from rows (fp, wide) with distinct fp. A spanning forest per bucket: enough for groups."""
+    """Links (a, b) that join all nodes whose fingerprints are within `bits` (and, with wide, within
+    wide_bits of the wide part), from rows (fp, node, wide). A spanning forest per bucket: enough for groups."""
     n, both = bit_counts(fps)
     plan = plan or plan_partitions(n, both, bits)
-    dealt = deal_blocks(_signatures(fps, plan), ["part", "key"], F.xxhash64("fp"), block, F.col("role") == 0).select("part", "key", "a", "b", "role", "fp", "wide")
+    dealt = deal_blocks(_signatures(fps, plan), ["part", "key"], F.xxhash64("node"), block, F.col("role") == 0).select("part", "key", "a", "b", "role", "fp", "node", "wide")
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return dealt.repartition(parts, "part", "key", "a", "b").sortWithinPartitions("part", "key", "a", "b", "role").mapInArrow(lambda it: _links_of(it, bits, wide, wide_bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, wide: int = 0, wide_bits: int = 0, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of docs; component_id: the smallest reachable doc_id.
-    Rows with equal fingerprints are one node, whatever their wide parts."""
+
+    Rows with equal fingerprints are one node. With wide, that many further fingerprints are probed in
+    the same way (a link in any of them will do) and a link also needs the fingerprints together, the
+    first and the further ones, to differ in at most wide_bits; rows with equal first ones are still one node."""
     prints = materialise(fingerprints(docs, words, wide, id_col, text_col), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("wide").alias("wide"), F.min("doc_id").alias("least_id")), "nodes")
-    roots = connected_components(links(nodes.select("fp", "wide"), bits, wide, wide_bits, block))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("wide").alias("wide"), F.min("doc_id").alias("least_id")).select("fp", F.concat(F.array("fp"), "wide").alias("all"), "least_id"), "nodes")
+    found = None
+    for k in range(wide + 1):
+        fp = F.get("all", F.lit(k))
+        all_bits = F.col("all") if wide else F.array().cast("array<long>")
+        part = links(nodes.select(fp.alias("fp"), F.col("fp").alias("node"), all_bits.alias("wide")), bits, wide + 1 if wide else 0, wide_bits, block)
+        found = part if found is None else found.unionByName(part)
+    roots = connected_components(found)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(low, "root").select("fp", "component_id")

@@ -23,6 +23,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm.shared import pick
+
 MOST_RULES = 1000
 
 
@@ -99,13 +101,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
 
     labelled: optional (page_id, bad boolean). purity: a template with `least` labels or more is
     rejected at (bad + smooth * prior) / (labels + smooth) >= purity."""
+    pages = pick(pages, id_col, url_col)
     host, path = host_and_path(pages[url_col].cast("string"))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(rules, F.col("host"), F.col("path"))
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
     known = rows.withColumn("bad", F.col("ruled") == "block")
     if labelled is not None:
-        votes = labelled.where("bad IS NOT NULL").groupBy(F.col("page_id").cast("long").alias("page_id")).agg((F.avg(F.col("bad").cast("int")) > 0.5).alias("voted"))
+        votes = pick(labelled, "page_id", "bad").where("bad IS NOT NULL").groupBy(F.col("page_id").cast("long").alias("page_id")).agg((F.avg(F.col("bad").cast("int")) > 0.5).alias("voted"))
         known = known.join(votes, "page_id", "left").withColumn("bad", F.coalesce("bad", "voted"))
     paths = known.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
     named = templates(paths, **tree)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import table_path
+from cellweave.llm.shared import pick, table_path
 
 #: Fixed values of the WARC/1.1 format.
 VERSION = "WARC/1.1"
@@ -31,6 +31,7 @@ CRLF = "\r\n"
 def write_archive(pages: DataFrame, path: str, least: int = 100, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
     """Write the archive of pages to `path` (a new folder that all executors share)."""
     spark = pages.sparkSession
+    pages = pick(pages, id_col, url_col, payload_col)
     body = F.encode(F.coalesce(pages[payload_col].cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), F.coalesce(pages[url_col].cast("string"), F.lit("")).alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     # equal digests hold equal bytes, so any of them will do, and a task sends each digest once

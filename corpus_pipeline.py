@@ -14,22 +14,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those whose best language is hardly likelier than chance."""
+    """Drop documents without a letter and those whose best language is about as likely as chance."""
     from cellweave.llm.langid import predict, train
 
     model = train(docs.select("text", "lang"))
     judged = predict(docs, model, keep=COLUMNS)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.4)).select(*COLUMNS)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id.
 
-    Five-word shingles. Fingerprints within 10 of 64 bits are candidates, which also have to agree in
-    256 further bits up to the angle of a shingle similarity of 0.8 and one standard deviation."""
+    Five-word shingles. Candidates are within 8 of 64 bits in one of five fingerprints; they also have to
+    agree in all 320 bits up to the angle of a shingle similarity of 0.8 and a standard deviation."""
     from cellweave.llm.simhash import near_duplicates
 
-    groups = near_duplicates(docs, words=5, bits=10, wide=4, wide_bits=43)
+    groups = near_duplicates(docs, words=5, bits=8, wide=4, wide_bits=56)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
