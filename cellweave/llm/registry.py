@@ -100,7 +100,56 @@ FROM d JOIN f USING (g)
 """
 
 
+def _rule_case(value: int) -> str:
+    """The rules as SQL, the longest first; value 0: their names, 1: their verdicts."""
+    lines = []
+    for rule, verdict in sorted(RULES, key=lambda r: -len(r[0])):
+        host, _, rest = rule.partition("/")
+        lines.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{rest}') THEN '{(rule, verdict)[value]}'")
+    return "CASE " + " ".join(lines) + " END"
+
+
+_OP3 = f"""
+WITH raw AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM raw),
+ruled AS (SELECT *, {_rule_case(0)} AS rule, {_rule_case(1)} AS ruled FROM split),
+paths AS (SELECT host, path, count(*) AS n, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad FROM ruled GROUP BY 1, 2),
+cut AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS words FROM paths),
+look AS (SELECT *, list_transform(words, lambda s: regexp_extract(s, '(\\.[A-Za-z]{{1,5}})$', 1)) AS exts, list_transform(words, lambda s: regexp_replace(s, '\\.[A-Za-z]{{1,5}}$', '')) AS stems FROM cut),
+shaped AS (SELECT host, path, n, good, bad, list_transform(range(1, len(words) + 1), lambda i:
+  CASE WHEN regexp_matches(stems[i], '^[0-9]+$') THEN '{{n}}' || exts[i]
+    WHEN regexp_matches(stems[i], '^[0-9A-Fa-f-]{{8,}}$') AND regexp_matches(stems[i], '[0-9]') AND regexp_matches(stems[i], '[A-Za-z]') THEN '{{h}}' || exts[i]
+    WHEN regexp_matches(stems[i], '[0-9]') AND regexp_matches(stems[i], '[A-Za-z]') AND length(stems[i]) >= 12 THEN '{{t}}' || exts[i]
+    ELSE words[i] END) AS segs FROM look),
+classed AS (SELECT *, list_transform(segs, lambda s: CASE WHEN regexp_matches(s, '^\\{{[nht]\\}}') THEN s ELSE 'w' END) AS classes FROM shaped),
+each AS (SELECT host, path, n, good, bad, i, array_to_string(classes[1:i], '/') AS before, coalesce(classes[i + 2], '') AS after, segs[i + 1] AS seg, classes[i + 1] <> 'w' OR regexp_matches(segs[i + 1], '^\\{{[nht]\\}}') AS wild
+  FROM classed, LATERAL (SELECT unnest(range(len(segs))) AS i) u),
+sums AS (SELECT host, i, before, seg, after, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM each WHERE NOT wild GROUP BY ALL),
+cells AS (SELECT host, i, before, seg, after || ' good' AS what, good AS c FROM sums WHERE good > 0
+  UNION ALL SELECT host, i, before, seg, after || ' bad', bad FROM sums WHERE bad > 0 UNION ALL SELECT host, i, before, seg, after || ' none', n - good - bad FROM sums WHERE n - good - bad > 0),
+branches AS (SELECT host, i, before, seg, sum(c) AS size FROM cells GROUP BY ALL),
+nodes AS (SELECT host, i, before, sum(size) AS total, count(*) AS branches, max({{'size': size, 'seg': seg}}) AS top FROM branches GROUP BY ALL),
+varied AS (SELECT host, i, before FROM nodes WHERE branches >= 20 AND top.size <= 0.2::DOUBLE * total),
+few AS (SELECT host, i, before, top.seg AS top_seg, top.size AS top_size FROM nodes WHERE branches > 1 AND NOT (branches >= 20 AND top.size <= 0.2::DOUBLE * total)),
+branch AS (SELECT b.*, top_seg, top_size FROM branches b JOIN few USING (host, i, before) WHERE seg <> top_seg),
+faced AS (SELECT host, i, before, seg, size, top_size, what, sum(c) AS c, sum(t) AS t FROM (
+  SELECT b.host, b.i, b.before, b.seg, size, top_size, what, c, 0 AS t FROM branch b JOIN cells k ON b.host = k.host AND b.i = k.i AND b.before = k.before AND b.seg = k.seg
+  UNION ALL SELECT b.host, b.i, b.before, b.seg, size, top_size, what, 0, c FROM branch b JOIN cells k ON b.host = k.host AND b.i = k.i AND b.before = k.before AND b.top_seg = k.seg) GROUP BY ALL),
+tested AS (SELECT host, i, before, seg, 2 * sum(CASE WHEN c > 0 THEN c * ln(c / ((c + t)::DOUBLE * size / (size + top_size))) ELSE 0 END + CASE WHEN t > 0 THEN t * ln(t / ((c + t)::DOUBLE * top_size / (size + top_size))) ELSE 0 END) AS g, count(*) - 1 AS df FROM faced GROUP BY ALL),
+alike AS (SELECT host, i, before, seg FROM tested WHERE g - df <= 3 * sqrt(greatest(1, 2 * df))),
+merged AS (SELECT * FROM alike UNION SELECT f.host, f.i, f.before, top_seg FROM few f JOIN alike a ON f.host = a.host AND f.i = a.i AND f.before = a.before),
+named AS (SELECT e.host, e.path, e.i, CASE WHEN wild THEN e.seg WHEN v.host IS NOT NULL THEN '{{*}}' WHEN m.host IS NOT NULL THEN '{{~}}' ELSE e.seg END AS token FROM each e
+  LEFT JOIN varied v ON e.host = v.host AND e.i = v.i AND e.before = v.before LEFT JOIN merged m ON e.host = m.host AND e.i = m.i AND e.before = m.before AND e.seg = m.seg),
+whole AS (SELECT host, path, string_agg(token, '/' ORDER BY i) AS tokens FROM named GROUP BY ALL),
+templates AS (SELECT p.*, p.host || '/' || coalesce(tokens, '') || CASE WHEN tokens IS NOT NULL AND ends_with(p.path, '/') THEN '/' ELSE '' END AS template FROM paths p LEFT JOIN whole w ON p.host = w.host AND p.path = w.path),
+score AS (SELECT template, (sum(bad) + 0.2::DOUBLE) / (sum(good) + sum(bad) + 2::DOUBLE) AS purity, sum(good) + sum(bad) AS labels FROM templates GROUP BY 1)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN labels >= 5 AND purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, template, purity::DOUBLE AS purity
+FROM ruled r JOIN templates t ON r.host = t.host AND r.path = t.path JOIN score USING (template)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries train models, hash or search in ways SQL can't express: tests/llm compares
     them with brute force, round trips and held-out labels."""
-    return {"op6_warc_store": _OP6}
+    return {"op3_url_template_tree": _OP3, "op6_warc_store": _OP6}
