@@ -130,3 +130,43 @@ def clip_norm(deltas: DataFrame, most: float, d: str = "d", key: str = "sample")
     """Deltas of each example, scaled down to norm `most` where they exceed it."""
     norm = deltas.groupBy(key).agg(F.sqrt(fixed_sum(F.col(d) * F.col(d))).alias("__n"))
     return deltas.join(norm, key).withColumn(d, F.when(F.col("__n") > most, F.col(d) * F.lit(most) / F.col("__n")).otherwise(F.col(d))).drop("__n")
+
+
+def with_share(targets: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """targets(sample, unit) with t: the example's weight, or 1 / (its number of targets) without weights,
+    as sparse softmax targets have it."""
+    n = targets.groupBy("sample").agg(F.count("*").alias("__n"))
+    out = targets.join(n, "sample")
+    if weights is None:
+        return out.withColumn("t", F.lit(1.0) / F.col("__n")).drop("__n")
+    return out.join(weights.select("sample", F.col("weight").alias("t")), "sample").drop("__n")
+
+
+def sparse_softmax_loss(outputs: DataFrame, targets: DataFrame, weights: DataFrame | None = None, margin: Margin | None = None) -> DataFrame:
+    """Cross entropy of softmax outputs against sparse targets; with margin, only where a is under the
+    one-target, scaled by the one-scale."""
+    stored = outputs.select("sample", "unit", "a").join(with_share(targets.select("sample", "unit"), weights), ["sample", "unit"])
+    x = -F.col("t") * _ln(F.col("a"))
+    if margin is not None:
+        x = F.when(F.col("a") < margin.one_target, x * F.lit(margin.one_scale)).otherwise(0.0)
+    return stored.agg(F.coalesce(fixed_sum(x), F.lit(0.0)).alias("loss"))
+
+
+def sparse_softmax_delta(outputs: DataFrame, targets: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(sample, unit, d): a where nothing is stored (times the example's weight), a - share where it is."""
+    t = with_share(targets.select("sample", "unit"), weights)
+    grid = outputs.select("sample", "unit", "a").join(t, ["sample", "unit"], "left")
+    w = F.lit(1.0)
+    if weights is not None:
+        grid = grid.join(weights.select("sample", F.col("weight").alias("__w")), "sample", "left")
+        w = F.coalesce("__w", F.lit(1.0))
+    return grid.select("sample", "unit", F.when(F.col("t").isNull(), w * F.col("a")).otherwise(F.col("a") - F.col("t")).alias("d"))
+
+
+def sparse_boosted_delta(act: str, outputs: DataFrame, targets: DataFrame, boost_one: float = 1.0, boost_zero: float = 1.0, ignore_zero: bool = False) -> DataFrame:
+    """(sample, unit, d) of squared error against stored ones: cells that aren't stored are scaled by
+    boost_zero (0 with ignore_zero), stored ones by boost_one."""
+    grid = outputs.select("sample", "unit", "a").join(targets.select("sample", "unit", F.lit(1.0).alias("t")), ["sample", "unit"], "left")
+    f = derivative(act, F.col("a"))
+    zero = F.lit(0.0 if ignore_zero else boost_zero) * F.col("a") * f
+    return grid.select("sample", "unit", F.when(F.col("t").isNull(), zero).otherwise(F.lit(boost_one) * (F.col("a") - F.lit(1.0)) * f).alias("d"))

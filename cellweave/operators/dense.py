@@ -118,3 +118,76 @@ def bias_gradient(deltas: DataFrame, batch: int) -> DataFrame:
 
 def transpose(weights: DataFrame) -> DataFrame:
     return weights.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+
+
+def biased_dropout(units: DataFrame, p: float, activation: str, alpha: float = 1.0, scale: float = 1.050701, epoch: int = 0, seed: int = 12134) -> DataFrame:
+    """The form for ELU and SELU: a dropped unit sits at the saturation value, and all are scaled and
+    shifted so that mean and variance stay."""
+    low = -(scale if activation == "selu" else 1.0) * alpha
+    q = 1.0 - p
+    a = 1.0 / (q + low * low * p * q) ** 0.5
+    b = -a * p * low
+    u = uniform(F.col("sample"), F.col("unit"), F.lit(epoch), seed=seed)
+    return units.withColumn("a", F.when(u < F.lit(p), F.lit(a * low + b)).otherwise(F.lit(a) * F.col("a") + F.lit(b)))
+
+
+def dot_delta(x: Column, y: Column, d: Column) -> tuple[Column, Column]:
+    """What a dot-product unit's delta sends back to its sources x and y."""
+    back = lambda v: F.transform(v, lambda e: d * e.cast("double"))
+    return back(y), back(x)
+
+
+def maxout_delta(source: DataFrame, out: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(sample, unit, d) for a source of a maxout layer: the delta where it holds the maximum, else 0."""
+    top = out.select("sample", "unit", F.col("a").alias("top"))
+    return source.join(top, ["sample", "unit"]).join(deltas, ["sample", "unit"]).select("sample", "unit", F.when(F.col("a") == F.col("top"), F.col("d")).otherwise(0.0).alias("d"))
+
+
+def _in_window(grid: DataFrame, size: int, stride: int, width: int, height: int) -> DataFrame:
+    """grid with (px, py), a row for each pooling window that holds the cell."""
+    nx, ny = (width - size) // stride + 1, (height - size) // stride + 1
+
+    def windows(at: Column, n: int) -> Column:
+        lo = F.greatest(F.lit(0), F.ceil((at - (size - 1)) / stride)).cast("int")
+        hi = F.least(F.lit(n - 1), F.floor(at / stride)).cast("int")
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+    return grid.withColumn("px", F.explode(windows(F.col("x"), nx))).withColumn("py", F.explode(windows(F.col("y"), ny)))
+
+
+def pool_delta(grid: DataFrame, deltas: DataFrame, size: int, stride: int, kind: str, width: int, height: int) -> DataFrame:
+    """(sample, channel, x, y, d) from deltas(sample, channel, x, y, d) of pooling windows: to the cell with
+    the window's maximum (the first in order of y, x), or in equal shares."""
+    cells = _in_window(grid, size, stride, width, height)
+    of = deltas.select("sample", "channel", F.col("x").alias("px"), F.col("y").alias("py"), "d")
+    key = ["sample", "channel", "px", "py"]
+    if kind == "max":
+        best = cells.groupBy(*key).agg(F.max(F.struct("a", (-F.col("y")).alias("my"), (-F.col("x")).alias("mx"))).alias("m"))
+        shares = best.join(of, key).select("sample", "channel", (-F.col("m.mx")).alias("x"), (-F.col("m.my")).alias("y"), "d")
+    else:
+        shares = cells.join(of, key).select("sample", "channel", "x", "y", (F.col("d") / F.lit(float(size * size))).alias("d"))
+    back = shares.groupBy("sample", "channel", "x", "y").agg(fixed_sum(F.col("d")).alias("d"))
+    return grid.select("sample", "channel", "x", "y").join(back, ["sample", "channel", "x", "y"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+
+
+def convolution_delta(deltas: DataFrame, kernel: DataFrame) -> DataFrame:
+    """(sample, channel, x, y, d): deltas(sample, out, x, y, d) sent back through the kernel."""
+    j = deltas.join(F.broadcast(kernel), "out")
+    return j.groupBy("sample", "channel", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y")).agg(fixed_sum(F.col("d") * F.col("w")).alias("d"))
+
+
+def convolution_gradient(grid: DataFrame, deltas: DataFrame, size: int, batch: int) -> DataFrame:
+    """(out, channel, dx, dy, g): minus the batch mean of input times delta over all places."""
+    shift = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    spread = deltas.withColumn("dx", shift).withColumn("dy", shift).select("sample", "out", "dx", "dy", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "d")
+    return grid.join(spread, ["sample", "x", "y"]).groupBy("out", "channel", "dx", "dy").agg((fixed_sum(F.col("a") * F.col("d")) * F.lit(-1.0 / batch)).alias("g"))
+
+
+def batch_norm_delta(units: DataFrame, deltas: DataFrame, eps: float = 1e-5, gamma: float = 1.0) -> DataFrame:
+    """(sample, unit, d) before the normalisation, from deltas behind it."""
+    both = units.join(deltas, ["sample", "unit"])
+    m = both.groupBy("unit").agg((fixed_sum(F.col("a")) / F.count("*")).alias("m"), (fixed_sum(F.col("a") * F.col("a")) / F.count("*")).alias("q"), (fixed_sum(F.col("d")) / F.count("*")).alias("md"), (fixed_sum(F.col("d") * F.col("a")) / F.count("*")).alias("mda"))
+    s = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("m") * F.col("m")) + F.lit(eps))
+    n = (F.col("a") - F.col("m")) / s
+    slope = (F.col("mda") - F.col("m") * F.col("md")) / s
+    return both.join(m, "unit").select("sample", "unit", (F.lit(gamma) / s * (F.col("d") - F.col("md") - n * slope)).alias("d"))

@@ -92,3 +92,9 @@ def topk_products(queries: DataFrame, items: DataFrame, k: int, activation: str
     if out is None:
         return spark.createDataFrame([], "sample bigint, rank int, idx bigint, score double")
     return topk(out, k).select("sample", "rank", "idx", "score")
+
+
+def k_sparse(units: DataFrame, k: int, key: str = "sample", idx: str = "unit", score: str = "a") -> DataFrame:
+    """All units, those that aren't among a sample's k largest set to 0."""
+    w = Window.partitionBy(key).orderBy(F.desc(score), F.asc(idx))
+    return units.withColumn("__r", F.row_number().over(w)).withColumn(score, F.when(F.col("__r") <= k, F.col(score)).otherwise(0.0)).drop("__r")

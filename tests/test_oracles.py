@@ -3,6 +3,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cellweave.plans import catalog_more  # noqa: F401  registers its queries
 from cellweave.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
