@@ -63,7 +63,8 @@ def build_index(labels: DataFrame, first_seen: str, old: DataFrame | None = None
     base = 0
     if old is not None:
         new = new.join(old.select("label"), "label", "left_anti")
-        base = (old.agg(F.max("idx")).first()[0] or -1) + 1 if old.limit(1).count() else 0
+        last = old.agg(F.max("idx")).first()[0]
+        base = 0 if last is None else last + 1
     numbered = numbered_rows(new, [F.col("seen"), F.col("label")]).select("label", (F.col("n") + base).alias("idx"))
     return numbered if old is None else old.select("label", "idx").unionByName(numbered)
 

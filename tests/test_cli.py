@@ -29,3 +29,30 @@ def test_merge_and_search(spark, tmp_path):
     (tmp_path / "v.txt").write_text("p\t1 0\nq\t0 1\nr\t1 1\n")
     cli.main(["knn-search", "-i", at("v.txt"), "-q", at("v.txt"), "-o", at("n"), "-k", "1", "--normalise"], spark)
     assert sorted(r["value"] for r in spark.read.text(at("n")).collect()) == ["p\tp:1.000", "q\tq:1.000", "r\tr:1.000"]
+
+
+def test_commands_train_validate_predict(spark, tmp_path):
+    from cellweave.plans.commands import run_command
+    from cellweave.sources import dataset
+
+    at = lambda n: str(tmp_path / n)
+    layers = [{"Kind": "Input", "N": 128}, {"Name": "H", "Kind": "Hidden", "N": 2, "Activation": "Tanh"}, {"Kind": "Output", "N": 128}]
+    (tmp_path / "net.json").write_text(json.dumps({"Layers": layers}))
+    cells = dataset.from_csr(spark, [0, 2], [2, 3], [0, 1, 2])
+    for name in ("input", "output"):
+        dataset.save(dataset.sparse(spark, name, cells, 3), at(f"data/{name}"))
+    base = {"Network": at("net.json"), "Data": at("data")}
+    errors = run_command(spark, json.dumps({**base, "Command": "Train", "Results": at("m"), "TrainingParameters": {"Epochs": 1, "Alpha": 0.1}}))
+    assert len(errors) == 1
+    assert run_command(spark, json.dumps({**base, "Command": "Validate"})) == []
+    found = run_command(spark, json.dumps({**base, "Command": "Predict", "TrainingParameters": {"Checkpoint": {"Name": at("m")}}}), k=2).collect()
+    assert sorted((r["sample"], r["rank"]) for r in found) == [(0, 1), (0, 2), (1, 1), (1, 2)]
+
+
+def test_images(spark, tmp_path):
+    from cellweave.sources import images
+
+    (tmp_path / "a.bin").write_bytes(bytes([3, 0, 255, 7, 9, 1, 2, 4]))
+    got = images.read_images(spark, str(tmp_path / "a.bin"), size=3)
+    assert sorted((r["sample"], r["feature"], r["value"]) for r in images.pixel_cells(got, 3).collect()) == [(0, 0, 0.0), (0, 1, 255.0), (0, 2, 7.0), (1, 0, 1.0), (1, 1, 2.0), (1, 2, 4.0)]
+    assert sorted((r["sample"], r["feature"]) for r in images.label_cells(got).collect()) == [(0, 3), (1, 9)]
