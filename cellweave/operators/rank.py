@@ -41,6 +41,42 @@ def filter_rows(lines: DataFrame, samples: DataFrame, features: DataFrame) -> Da
     return index_cells(parse_samples(lines), samples, features).withColumnRenamed("value", "factor")
 
 
+def _block_best(rows: pd.DataFrame, idx: np.ndarray, mat: np.ndarray, bias, k: int, activation: str, digits: int, has_skip: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, score) of the k best of each row. Activation and rounding keep the order, so they're
+    applied only to what can still be among the best, and to filtered cells, whose factor may change it."""
+
+    def final(x: np.ndarray, factor=1.0) -> np.ndarray:
+        return np.round((1.0 / (1.0 + np.exp(-x)) if activation == "sigmoid" else x) * factor, digits)
+
+    s = np.stack([np.asarray(v, float) for v in rows["vec"]]) @ mat.T + bias
+    fr, fc, ff = [], [], []
+    if has_skip:
+        for r, (skip, factor) in enumerate(zip(rows["skip"], rows["factor"], strict=True)):
+            if skip is not None and len(skip):
+                skip = np.asarray(skip)
+                at = np.minimum(np.searchsorted(idx, skip), len(idx) - 1)
+                ok = idx[at] == skip
+                fr.append(np.full(ok.sum(), r))
+                fc.append(at[ok])
+                ff.append(np.asarray(factor, float)[ok])
+    fr, fc = (np.concatenate(x) if x else np.zeros(0, int) for x in (fr, fc))
+    fs = final(s[fr, fc], np.concatenate(ff)) if len(fr) else np.zeros(0)
+    s[fr, fc] = -np.inf
+    m = min(k, s.shape[1])
+    least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+    # one unit of the last digit below the k-th best: all that could tie with it after rounding
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        edge = final(least) - 1.5 * 10.0**-digits
+        cut = np.where(edge > 0, np.log(edge / (1 - np.minimum(edge, 1 - 1e-16))) - 1e-9, -np.inf) if activation == "sigmoid" else edge
+    r, c = np.nonzero((s >= cut[:, None]) & (s > -np.inf))
+    r, c, score = np.concatenate([r, fr]), np.concatenate([c, fc]), np.concatenate([final(s[r, c]), fs])
+    order = np.lexsort((idx[c], -score, r))
+    r, c, score = r[order], c[order], score[order]
+    first = np.searchsorted(r, np.arange(len(rows)))
+    keep = np.arange(len(r)) - first[r] < m
+    return r[keep], c[keep], score[keep]
+
+
 def topk_products(queries: DataFrame, items: DataFrame, k: int, activation: str = "linear", digits: int = 6, most_items: int = 200_000, offset: str | None = None) -> DataFrame:
     """(sample, rank, idx, score): for each queries(sample, vec[, skip, factor]) the k best items(idx, vec
     [, b]) by activation(vec . vec + b) * factor, rounded to `digits` before ranking.
@@ -53,6 +89,8 @@ def topk_products(queries: DataFrame, items: DataFrame, k: int, activation: str
     blocks = max(1, math.ceil(n / most_items))
     has_skip, has_b = "skip" in queries.columns, "b" in items.columns
     cols = ["sample", "vec", *(["skip", "factor"] if has_skip else [])]
+    # a row here is a product with all items: as many tasks as there are cores at least
+    spread = queries.select(*cols).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "sample")
     out = None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == b).select("idx", "vec", *(["b"] if has_b else [])).toPandas().sort_values("idx")
@@ -63,31 +101,12 @@ def topk_products(queries: DataFrame, items: DataFrame, k: int, activation: str
         def run(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             idx, mat, bias = held.value
             for part in parts:
-                for lo in range(0, len(part), 64):
-                    rows = part.iloc[lo : lo + 64]
-                    q = np.stack([np.asarray(v, float) for v in rows["vec"]])
-                    s = np.zeros((len(q), len(mat)))
-                    for d in range(q.shape[1]):  # in order, as an engine adds up row by row
-                        s += q[:, d : d + 1] * mat[None, :, d]
-                    s += bias
-                    if activation == "sigmoid":
-                        s = 1.0 / (1.0 + np.exp(-s))
-                    if has_skip:
-                        for r, (skip, factor) in enumerate(zip(rows["skip"], rows["factor"], strict=True)):
-                            if skip is not None and len(skip):
-                                at = np.searchsorted(idx, np.asarray(skip))
-                                ok = (at < len(idx)) & (idx[np.minimum(at, len(idx) - 1)] == np.asarray(skip))
-                                s[r, at[ok]] *= np.asarray(factor, float)[ok]
-                    s = np.round(s, digits)
-                    m = min(k, s.shape[1])
-                    # all that reach the k-th best score, then score descending, index ascending
-                    least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-                    for r, sample in enumerate(rows["sample"]):
-                        at = np.nonzero(s[r] >= least[r])[0]
-                        at = at[np.lexsort((idx[at], -s[r, at]))][:m]
-                        yield pd.DataFrame({"sample": sample, "idx": idx[at], "score": s[r, at]})
-
-        part = queries.select(*cols).mapInPandas(run, "sample bigint, idx bigint, score double")
+                for lo in range(0, len(part), 256):
+                    rows = part.iloc[lo : lo + 256]
+                    r, at, score = _block_best(rows, idx, mat, bias, k, activation, digits, has_skip)
+                    yield pd.DataFrame({"sample": rows["sample"].to_numpy()[r], "idx": idx[at], "score": score})
+
+        part = spread.mapInPandas(run, "sample bigint, idx bigint, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "sample bigint, rank int, idx bigint, score double")
