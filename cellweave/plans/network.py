@@ -7,8 +7,6 @@ survives lost executors.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import activations, losses, optimizers
 from cellweave.functions.fixed import fixed_sum
 from cellweave.functions.generators import weight_init
+from cellweave.functions.tables import kept
 from cellweave.operators import dense
 from cellweave.operators.rank import topk
 from cellweave.operators.sparse import denoise
@@ -183,17 +182,6 @@ def parse_command(text: str) -> Command:
     )
 
 
-def _folder(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{where.rstrip('/') if where else tempfile.mkdtemp(prefix='cellweave-')}/model-{uuid.uuid4().hex}"
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    path = _folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Network:
     """A fully connected feed-forward network over input cells(sample, feature, value)."""
 
@@ -211,9 +199,9 @@ class Network:
             for s in x.sources:
                 grid = spark.range(self.widths[s]).select(F.col("id").alias("src")).withColumn("dst", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.widths[x.name] - 1).cast("bigint"))))
                 w = weight_init(x.scheme, F.col("src"), F.col("dst"), self.widths[s], self.widths[x.name], x.scale, seed)
-                self.weights[s, x.name] = _kept(grid.select("src", "dst", w.alias("w"), F.lit(0.0).alias("v"), F.lit(0.0).alias("vg")))
+                self.weights[s, x.name] = kept(grid.select("src", "dst", w.alias("w"), F.lit(0.0).alias("v"), F.lit(0.0).alias("vg")))
             if x.kind != "input":
-                self.biases[x.name] = _kept(spark.range(self.widths[x.name]).select(F.col("id").alias("dst"), F.lit(x.bias).alias("w"), F.lit(0.0).alias("v"), F.lit(0.0).alias("vg")))
+                self.biases[x.name] = kept(spark.range(self.widths[x.name]).select(F.col("id").alias("dst"), F.lit(x.bias).alias("w"), F.lit(0.0).alias("v"), F.lit(0.0).alias("vg")))
         self.batches = 0
 
     def forward(self, cells: DataFrame, train: bool = False, epoch: int = 0) -> dict[str, DataFrame]:
@@ -239,7 +227,7 @@ class Network:
                 a = z.select("sample", "unit", activations.activation(x.activation, F.col("x"), x.slope, x.elu_alpha, x.selu_lambda).alias("a"))
             if train and x.dropout:
                 a = dense.dropout(a, x.dropout, 0.5 if x.activation == "sigmoid" else 0.0, epoch)
-            out[x.name] = _kept(a) if train else a
+            out[x.name] = kept(a) if train else a
         return out
 
     def _grid(self, layer: Layer, units: dict[str, DataFrame], targets: DataFrame) -> DataFrame:
@@ -287,7 +275,7 @@ class Network:
                 d = back.join(units[x.name], ["sample", "unit"]).select("sample", "unit", (F.col("d") * f).alias("d"))
             if x.delta_norm:
                 d = losses.clip_norm(d, x.delta_norm)
-            deltas[x.name] = _kept(d)
+            deltas[x.name] = kept(d)
             for s in x.sources:
                 src = units[s].select("sample", F.col("unit").alias("src"), "a")
                 edges[s, x.name] = src.join(deltas[x.name], "sample").groupBy("src", F.col("unit").alias("dst")).agg((fixed_sum(F.col("a") * F.col("d")) * F.lit(-1.0 / max(1, n))).alias("g"))
@@ -301,10 +289,10 @@ class Network:
             new = optimizers.step(optimizer, state, alpha, mu, l2, l1, self.batches)
             if self.spec.layer(d).weight_norm:
                 new = optimizers.max_norm(new, self.spec.layer(d).weight_norm)
-            self.weights[s, d] = _kept(new)
+            self.weights[s, d] = kept(new)
         for d, g in biases.items():
             state = self.biases[d].join(g, "dst", "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
-            self.biases[d] = _kept(optimizers.step(optimizer, state, alpha, mu, t=self.batches, bias=True))
+            self.biases[d] = kept(optimizers.step(optimizer, state, alpha, mu, t=self.batches, bias=True))
         self.batches += 1
         return error
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellweave.functions.tables import kept
+
 
 class LabelIndexError(ValueError):
     """A label index that can't be loaded."""
@@ -71,11 +73,12 @@ def build_index(labels: DataFrame, first_seen: str, old: DataFrame | None = None
 
 def numbered_rows(rows: DataFrame, order: list[Column]) -> DataFrame:
     """rows with n = 0, 1, ... in the given order, without a single-task window: a range sort, row
-    numbers in each partition, and the partitions' offsets (a row per partition)."""
+    numbers in each partition, and the partitions' offsets (a row per partition). The numbered rows are
+    written once: another range sort could draw other bounds."""
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    placed = placed.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1))
+    placed = kept(placed.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1)), "numbered")
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__part", before.alias("__before"))
