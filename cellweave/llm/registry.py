@@ -128,18 +128,18 @@ each AS (SELECT host, path, n, good, bad, i, array_to_string(classes[1:i], '/')
 sums AS (SELECT host, i, before, seg, after, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM each WHERE NOT wild GROUP BY ALL),
 cells AS (SELECT host, i, before, seg, after || ' good' AS what, good AS c FROM sums WHERE good > 0
   UNION ALL SELECT host, i, before, seg, after || ' bad', bad FROM sums WHERE bad > 0 UNION ALL SELECT host, i, before, seg, after || ' none', n - good - bad FROM sums WHERE n - good - bad > 0),
-branches AS (SELECT host, i, before, seg, sum(c) AS size FROM cells GROUP BY ALL),
-nodes AS (SELECT host, i, before, sum(size) AS total, count(*) AS branches, max({{'size': size, 'seg': seg}}) AS top FROM branches GROUP BY ALL),
-varied AS (SELECT host, i, before FROM nodes WHERE branches >= 20 AND top.size <= 0.2::DOUBLE * total),
-few AS (SELECT host, i, before, top.seg AS top_seg, top.size AS top_size FROM nodes WHERE branches > 1 AND NOT (branches >= 20 AND top.size <= 0.2::DOUBLE * total)),
-branch AS (SELECT b.*, top_seg, top_size FROM branches b JOIN few USING (host, i, before) WHERE seg <> top_seg),
-faced AS (SELECT host, i, before, seg, size, top_size, what, sum(c) AS c, sum(t) AS t FROM (
-  SELECT b.host, b.i, b.before, b.seg, size, top_size, what, c, 0 AS t FROM branch b JOIN cells k ON b.host = k.host AND b.i = k.i AND b.before = k.before AND b.seg = k.seg
-  UNION ALL SELECT b.host, b.i, b.before, b.seg, size, top_size, what, 0, c FROM branch b JOIN cells k ON b.host = k.host AND b.i = k.i AND b.before = k.before AND b.top_seg = k.seg) GROUP BY ALL),
-tested AS (SELECT host, i, before, seg, 2 * sum(CASE WHEN c > 0 THEN c * ln(c / ((c + t)::DOUBLE * size / (size + top_size))) ELSE 0 END + CASE WHEN t > 0 THEN t * ln(t / ((c + t)::DOUBLE * top_size / (size + top_size))) ELSE 0 END) AS g, count(*) - 1 AS df FROM faced GROUP BY ALL),
-alike AS (SELECT host, i, before, seg FROM tested WHERE g - df <= 3 * sqrt(greatest(1, 2 * df))),
-merged AS (SELECT * FROM alike UNION SELECT f.host, f.i, f.before, top_seg FROM few f JOIN alike a ON f.host = a.host AND f.i = a.i AND f.before = a.before),
-named AS (SELECT e.host, e.path, e.i, CASE WHEN wild THEN e.seg WHEN v.host IS NOT NULL THEN '{{*}}' WHEN m.host IS NOT NULL THEN '{{~}}' ELSE e.seg END AS token FROM each e
+branches AS (SELECT host, i, before, seg, sum(c) AS size, max({{'c': c, 'what': what}}).what AS lead FROM cells GROUP BY host, i, before, seg),
+varied AS (SELECT host, i, before FROM branches GROUP BY ALL HAVING count(*) >= 20 AND max(size) <= 0.2::DOUBLE * sum(size)),
+few AS (SELECT host, i, before, lead, top.seg AS top_seg, top.size AS top_size FROM (SELECT host, i, before, lead, count(*) AS n, max({{'size': size, 'seg': seg}}) AS top FROM branches b
+  WHERE NOT EXISTS (FROM varied v WHERE v.host = b.host AND v.i = b.i AND v.before = b.before) GROUP BY host, i, before, lead) WHERE n > 1),
+branch AS (SELECT b.*, top_seg, top_size FROM branches b JOIN few USING (host, i, before, lead) WHERE seg <> top_seg),
+faced AS (SELECT host, i, before, lead, seg, size, top_size, what, sum(c) AS c, sum(t) AS t FROM (
+  SELECT b.host, b.i, b.before, b.lead, b.seg, size, top_size, what, c, 0 AS t FROM branch b JOIN cells k ON b.host = k.host AND b.i = k.i AND b.before = k.before AND b.seg = k.seg
+  UNION ALL SELECT b.host, b.i, b.before, b.lead, b.seg, size, top_size, what, 0, c FROM branch b JOIN cells k ON b.host = k.host AND b.i = k.i AND b.before = k.before AND b.top_seg = k.seg) GROUP BY ALL),
+tested AS (SELECT host, i, before, lead, seg, 2 * sum(CASE WHEN c > 0 THEN c * ln(c / ((c + t)::DOUBLE * size / (size + top_size))) ELSE 0 END + CASE WHEN t > 0 THEN t * ln(t / ((c + t)::DOUBLE * top_size / (size + top_size))) ELSE 0 END) AS g, count(*) - 1 AS df FROM faced GROUP BY ALL),
+alike AS (SELECT host, i, before, lead, seg FROM tested WHERE g - df <= 3 * sqrt(greatest(1, 2 * df))),
+merged AS (SELECT * FROM alike UNION SELECT f.host, f.i, f.before, f.lead, top_seg FROM few f JOIN alike a ON f.host = a.host AND f.i = a.i AND f.before = a.before AND f.lead = a.lead),
+named AS (SELECT e.host, e.path, e.i, CASE WHEN wild THEN e.seg WHEN v.host IS NOT NULL THEN '{{*}}' WHEN m.host IS NOT NULL THEN '{{~' || m.lead || '}}' ELSE e.seg END AS token FROM each e
   LEFT JOIN varied v ON e.host = v.host AND e.i = v.i AND e.before = v.before LEFT JOIN merged m ON e.host = m.host AND e.i = m.i AND e.before = m.before AND e.seg = m.seg),
 whole AS (SELECT host, path, string_agg(token, '/' ORDER BY i) AS tokens FROM named GROUP BY ALL),
 templates AS (SELECT p.*, p.host || '/' || coalesce(tokens, '') || CASE WHEN tokens IS NOT NULL AND ends_with(p.path, '/') THEN '/' ELSE '' END AS template FROM paths p LEFT JOIN whole w ON p.host = w.host AND p.path = w.path),

@@ -177,6 +177,7 @@ def thresholds(n: int, both: np.ndarray, groups: list[list[int]], bits: int) ->
 
 def plan_partitions(n: int, both: np.ndarray, bits: int) -> list[tuple[list[int], int]]:
     """(bits of the partition, threshold) with the least estimated cost over 1 to bits + 2 partitions."""
+    n = max(1, n)
     best: tuple[float, list] = (math.inf, [])
     for m in range(1, min(64, bits + 2) + 1):
         groups = group_bits(n, both, m)

@@ -2,9 +2,9 @@
 
 The tree: a path's segments each have a shape (number, hexadecimal, long mixed token, or text), which
 generalises variable segments in place. A text segment becomes a wildcard too where its node (host,
-depth, shapes of the segments before it) has many different values without a dominant one, and sibling
-branches that don't differ statistically from the largest of them (two-sample G test over what
-follows them and how they are labelled) merge into one. A template (host and generalised segments) is
+depth, shapes of the segments before it) has many different values without a dominant one. Sibling
+branches with the same most frequent outcome (what follows them and how they are labelled) merge into
+one where they don't differ statistically from the largest of these (two-sample G test over outcomes). A template (host and generalised segments) is
 rejected if its smoothed share of bad labels is high enough. Labels come from the URLs that a rule
 decides, and optionally from a table.
 
@@ -69,26 +69,29 @@ def templates(paths: DataFrame, many: int = 20, share: float = 0.2, apart: float
     cells = each.where(~F.col("wild")).groupBy(*node, "seg", "after").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     # counts of (what follows, label): good, bad and unlabelled are three outcomes
     cells = cells.select(*node, "seg", "n", F.explode(F.array(*[F.struct(F.concat("after", F.lit(x)).alias("what"), c.alias("c")) for x, c in ((" good", F.col("good")), (" bad", F.col("bad")), (" none", F.col("n") - F.col("good") - F.col("bad")))])).alias("o")).where("o.c > 0").select(*node, "seg", F.col("o.what").alias("what"), F.col("o.c").alias("c"))
-    branches = cells.groupBy(*node, "seg").agg(F.sum("c").alias("size"))
-    nodes = branches.groupBy(*node).agg(F.sum("size").alias("total"), F.count("*").alias("branches"), F.max(F.struct("size", "seg")).alias("top"))
-    nodes = nodes.select(*node, "total", "branches", F.col("top.size").alias("top_size"), F.col("top.seg").alias("top_seg"))
-    varied = (F.col("branches") >= many) & (F.col("top_size") <= share * F.col("total"))
-    few = nodes.where(~varied & (F.col("branches") > 1))
-    # G of each branch against the largest: 2 * sum over outcomes of a ln(a / e), for both samples
-    top = cells.join(few.select(*node, F.col("top_seg").alias("seg")), [*node, "seg"]).select(*node, "what", F.col("c").alias("t"))
-    branch = branches.join(few.where(F.col("top_size") > 0).select(*node, "top_seg", "top_size"), node).where("seg <> top_seg")
-    own = branch.join(cells, [*node, "seg"]).select(*node, "seg", "size", "top_size", "what", "c", F.lit(0).cast("long").alias("t"))
-    theirs = branch.join(top, node).select(*node, "seg", "size", "top_size", "what", F.lit(0).cast("long").alias("c"), "t")
-    both = own.unionByName(theirs).groupBy(*node, "seg", "size", "top_size", "what").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    # a branch's lead is its most frequent outcome; branches of one lead may merge
+    branches = cells.groupBy(*node, "seg").agg(F.sum("c").alias("size"), F.max(F.struct("c", "what")).alias("m")).select(*node, "seg", "size", F.col("m.what").alias("lead"))
+    nodes = branches.groupBy(*node).agg(F.sum("size").alias("total"), F.count("*").alias("branches"), F.max("size").alias("top_size"))
+    varied = nodes.where((F.col("branches") >= many) & (F.col("top_size") <= share * F.col("total"))).select(*node)
+    side = [*node, "lead"]
+    few = branches.groupBy(*side).agg(F.count("*").alias("branches"), F.max(F.struct("size", "seg")).alias("top")).where("branches > 1").join(varied, node, "left_anti")
+    few = few.select(*side, F.col("top.size").alias("top_size"), F.col("top.seg").alias("top_seg"))
+    # G of each branch against the largest of its lead: 2 * sum over outcomes of a ln(a / e), for both samples
+    top = cells.join(few.select(*side, F.col("top_seg").alias("seg")), [*node, "seg"]).select(*side, "what", F.col("c").alias("t"))
+    branch = branches.join(few, side).where("seg <> top_seg")
+    own = branch.join(cells, [*node, "seg"]).select(*side, "seg", "size", "top_size", "what", "c", F.lit(0).cast("long").alias("t"))
+    theirs = branch.join(top, side).select(*side, "seg", "size", "top_size", "what", F.lit(0).cast("long").alias("c"), "t")
+    both = own.unionByName(theirs).groupBy(*side, "seg", "size", "top_size", "what").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
     def part(x: str, size: str) -> Column:
         expected = (F.col("c") + F.col("t")) * F.col(size) / (F.col("size") + F.col("top_size"))
         return F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / expected)).otherwise(0.0)
 
-    tested = both.groupBy(*node, "seg").agg((2 * F.sum(part("c", "size") + part("t", "top_size"))).alias("g"), (F.count("*") - 1).alias("df"))
+    tested = both.groupBy(*side, "seg").agg((2 * F.sum(part("c", "size") + part("t", "top_size"))).alias("g"), (F.count("*") - 1).alias("df"))
     like = tested.where(F.col("g") - F.col("df") <= apart * F.sqrt(F.greatest(F.lit(1.0), 2 * F.col("df"))))
-    merged = like.select(*node, "seg").unionByName(few.join(like.select(*node).distinct(), node, "left_semi").select(*node, F.col("top_seg").alias("seg"))).withColumn("token", F.lit("{~}"))
-    wildcard = nodes.where(varied).select(*node, F.lit("{*}").alias("any"))
+    merged = like.select(*side, "seg").unionByName(few.join(like.select(*side).distinct(), side, "left_semi").select(*side, F.col("top_seg").alias("seg")))
+    merged = merged.select(*node, "seg", F.concat(F.lit("{~"), F.col("lead"), F.lit("}")).alias("token"))
+    wildcard = varied.select(*node, F.lit("{*}").alias("any"))
     named = each.join(merged, [*node, "seg"], "left").join(wildcard, node, "left")
     named = named.select("host", "path", "i", F.when(F.col("wild"), F.col("seg")).otherwise(F.coalesce("any", "token", "seg")).alias("token"))
     whole = named.groupBy("host", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]), "/").alias("tokens"))
