@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import pick
+from cellweave.llm.shared import materialise, pick
 
 MOST_RULES = 1000
 
@@ -69,13 +69,17 @@ def templates(paths: DataFrame, many: int = 20, share: float = 0.2, apart: float
     cells = each.where(~F.col("wild")).groupBy(*node, "seg", "after").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     # counts of (what follows, label): good, bad and unlabelled are three outcomes
     cells = cells.select(*node, "seg", "n", F.explode(F.array(*[F.struct(F.concat("after", F.lit(x)).alias("what"), c.alias("c")) for x, c in ((" good", F.col("good")), (" bad", F.col("bad")), (" none", F.col("n") - F.col("good") - F.col("bad")))])).alias("o")).where("o.c > 0").select(*node, "seg", F.col("o.what").alias("what"), F.col("o.c").alias("c"))
+    # what several of the steps below read is written once
+    cells = materialise(cells, "url-cells")
     # a branch's lead is its most frequent outcome; branches of one lead may merge
     branches = cells.groupBy(*node, "seg").agg(F.sum("c").alias("size"), F.max(F.struct("c", "what")).alias("m")).select(*node, "seg", "size", F.col("m.what").alias("lead"))
+    branches = materialise(branches, "url-branches")
     nodes = branches.groupBy(*node).agg(F.sum("size").alias("total"), F.count("*").alias("branches"), F.max("size").alias("top_size"))
     varied = nodes.where((F.col("branches") >= many) & (F.col("top_size") <= share * F.col("total"))).select(*node)
     side = [*node, "lead"]
     few = branches.groupBy(*side).agg(F.count("*").alias("branches"), F.max(F.struct("size", "seg")).alias("top")).where("branches > 1").join(varied, node, "left_anti")
     few = few.select(*side, F.col("top.size").alias("top_size"), F.col("top.seg").alias("top_seg"))
+    few = materialise(few, "url-leads")
     # G of each branch against the largest of its lead: 2 * sum over outcomes of a ln(a / e), for both samples
     top = cells.join(few.select(*side, F.col("top_seg").alias("seg")), [*node, "seg"]).select(*side, "what", F.col("c").alias("t"))
     branch = branches.join(few, side).where("seg <> top_seg")
@@ -114,7 +118,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
         votes = pick(labelled, "page_id", "bad").where("bad IS NOT NULL").groupBy(F.col("page_id").cast("long").alias("page_id")).agg((F.avg(F.col("bad").cast("int")) > 0.5).alias("voted"))
         known = known.join(votes, "page_id", "left").withColumn("bad", F.coalesce("bad", "voted"))
     paths = known.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
-    named = templates(paths, **tree)
+    named = materialise(templates(materialise(paths, "url-paths"), **tree), "url-templates")
     score = named.groupBy("template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     score = score.select("template", ((F.col("bad") + smooth * prior) / (F.col("good") + F.col("bad") + smooth)).alias("purity"), (F.col("good") + F.col("bad")).alias("labels"))
     judged = named.select("host", "path", "template").join(score, "template")
