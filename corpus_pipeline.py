@@ -23,15 +23,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id.
+    """One row of each group stays, the one with the smallest id (null ids last, then the first row).
 
+    Rows are told apart by a key of their own, written once, so null and repeated ids lose nothing.
     Five-word shingles. Candidates are within 8 of 64 bits in one of five fingerprints; they also have to
     agree in all 320 bits up to the angle of a shingle similarity of 0.8 and a standard deviation."""
     from cellweave.llm.simhash import near_duplicates
 
-    groups = near_duplicates(docs, words=5, bits=8, wide=4, wide_bits=56)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rows = materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, words=5, bits=8, wide=4, wide_bits=56, id_col="row")
+    groups = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stay = groups.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(stay, "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
