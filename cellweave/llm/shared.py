@@ -46,6 +46,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """A table of ids, broadcast if it has at most `most` rows, so that texts joined with it stay in place."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The first columns of just these names, in this order. Found by place, so further columns whose
     names are equal, or equal but for case, don't matter."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import Forest, as_documents, connected_components, deal_blocks, ensure_workers_import, materialise
+from cellweave.llm.shared import Forest, as_documents, connected_components, deal_blocks, ensure_workers_import, materialise, small
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
@@ -304,3 +304,115 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, wide: int =
     low = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(low, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- exact confirmation
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
+
+
+def set_prints(docs: DataFrame, words: int, prints: int) -> DataFrame:
+    """(doc_id, digest, prints): fingerprints of the set of shingles (repeats count once, as in a
+    Jaccard similarity) and a 128-bit digest of the set."""
+    from xxhash import xxh3_128_digest
+
+    ensure_workers_import(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("prints", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, found = [], []
+            for text in batch.column(1):
+                h = shingle_set(text.as_py(), words)
+                digests.append(xxh3_128_digest(h.tobytes()))
+                ones = np.zeros((prints, 64), dtype=np.int64)
+                for at in range(0, len(h), _CHUNK):
+                    part = h[at : at + _CHUNK]
+                    for k in range(prints):
+                        ones[k] += np.unpackbits((mixed(part, k) if k else part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                found.append(np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<i8").ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, prints array<long>")
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
+    """A sorted stream of (root, a, b, role, node, shingles) to links of nodes: in each group (root, a, b)
+    a forest that spans all pairs with an exact Jaccard similarity of `similar` or more."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links_in(nodes: list[int], roles: list[int], sets: list[np.ndarray], cross: bool) -> Iterator[tuple[int, int]]:
+        n, role, size = len(nodes), np.array(roles), np.array([len(s) for s in sets])
+        ends = np.cumsum(size)
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        mark, forest = np.zeros(len(values), dtype=bool), Forest()
+        forest.grow(n)
+        for i in range(n):
+            up = np.array([forest.find(j) for j in range(i + 1, n)], dtype=np.int64)
+            low, high = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
+            may = (up != forest.find(i)) & (low + 1e-9 >= similar * high)
+            if cross:
+                may &= role[i + 1 :] != role[i]
+            if not may.any():
+                continue
+            own = ids[ends[i] - size[i] : ends[i]]
+            mark[own] = True
+            rest = np.concatenate([[0], np.cumsum(mark[ids[ends[i] :]])])
+            mark[own] = False
+            at = ends[i + 1 :] - ends[i]
+            both = rest[at] - rest[at - size[i + 1 :]]
+            j = np.nonzero(may & (both + 1e-9 >= similar * (size[i] + size[i + 1 :] - both)))[0] + i + 1
+            for x, y in forest.links(j, np.full(len(j), i)):
+                yield nodes[x], nodes[y]
+
+    def flush(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    group, nodes, roles, sets = None, [], [], []
+    for batch in batches:
+        root, a, b, role, node = (batch.column(i).to_pylist() for i in range(5))
+        for r in range(batch.num_rows):
+            now = (root[r], a[r], b[r])
+            if now != group:
+                if len(nodes) > 1:
+                    yield flush(list(links_in(nodes, roles, sets, group[1] != group[2])))
+                group, nodes, roles, sets = now, [], [], []
+            nodes.append(node[r])
+            roles.append(role[r])
+            sets.append(np.frombuffer(batch.column(5)[r].as_py(), "<u8"))
+    if len(nodes) > 1:
+        yield flush(list(links_in(nodes, roles, sets, group[1] != group[2])))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, bits: int = 10, prints: int = 6, all_bits: int = 96, similar: float = 0.8, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) per row of docs, whose ids must be distinct and not null. Groups are joined
+    by pairs whose shingle sets have a Jaccard similarity of at least `similar`, computed exactly.
+
+    Candidates are within `bits` of 64 in one of the fingerprints and within all_bits of them together;
+    they only say which texts are looked at. Texts with equal sets are one node. The nodes that
+    candidates connect are dealt out in pairs of blocks, and in these all pairs are compared."""
+    spark = docs.sparkSession
+    held = as_documents(docs, id_col, text_col)
+    known = materialise(set_prints(held, words, prints), "set-prints")
+    nodes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints")), "set-nodes")
+    found = None
+    for k in range(prints):
+        part = links(nodes.select(F.get("prints", F.lit(k)).alias("fp"), "node", F.col("prints").alias("wide")), bits, prints, all_bits)
+        found = part if found is None else found.unionByName(part)
+    near = materialise(connected_components(found), "near")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles = pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), shingles], names=["root", "node", "shingles"])
+
+    looked = held.join(small(near), F.col("doc_id") == F.col("node")).select("root", "node", "text").mapInArrow(sets, "root long, node long, shingles binary")
+    dealt = deal_blocks(materialise(looked, "shingles"), ["root"], F.xxhash64("node"), block).select("root", "a", "b", "role", "node", "shingles")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    pairs = dealt.repartition(parts, "root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(lambda it: _confirmed(it, similar), "a long, b long")
+    roots = connected_components(pairs).select("node", "root")
+    named = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
+    return known.join(named, "digest").select("doc_id", "component_id")

@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import materialise
+from cellweave.llm.shared import materialise, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those whose best language is about as likely as chance."""
+    """Drop documents without a letter and those whose best language is about as likely as chance.
+
+    Without any labelled row there is no model: every document with a letter stays."""
     from cellweave.llm.langid import predict, train
 
     model = train(docs.select("text", "lang"))
@@ -26,16 +28,16 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One row of each group stays, the one with the smallest id (null ids last, then the first row).
 
     Rows are told apart by a key of their own, written once, so null and repeated ids lose nothing.
-    Five-word shingles. Candidates are within 8 of 64 bits in one of five fingerprints; they also have to
-    agree in all 320 bits up to the angle of a shingle similarity of 0.8 and a standard deviation."""
-    from cellweave.llm.simhash import near_duplicates
+    Groups are joined by pairs of texts that share five-word shingles with an exact Jaccard similarity of
+    0.8 or more. Candidates are within 10 of 64 bits in one of six fingerprints and 96 of all 384 bits."""
+    from cellweave.llm.simhash import similar_groups
 
     rows = materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(rows, words=5, bits=8, wide=4, wide_bits=56, id_col="row")
+    groups = similar_groups(rows, words=5, bits=10, prints=6, all_bits=96, similar=0.8, id_col="row")
     groups = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     stay = groups.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
-    return rows.join(stay, "row", "left_semi").select(*COLUMNS)
+    return rows.join(small(materialise(stay, "stay")), "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

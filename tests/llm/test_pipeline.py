@@ -2,7 +2,10 @@
 import random
 import re
 
+import pytest
+
 import corpus_pipeline
+from cellweave.llm.simhash import similar_groups
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -87,3 +90,36 @@ def test_run_keeps_every_distinct_document(spark, tmp_path):
     assert set(total) == set(want) and group == {None: 2, 3: 1, 5: 1, 7: 2, 9: 1}
     assert {i: n for i, n in total.items() if i is not None} == {i: n for i, n in want.items() if i is not None}
     assert abs(total[None] - want[None]) <= 10  # either of two near copies with null ids
+
+
+def near_and_below(seed=3, families=24):
+    """Pairs on both sides of 0.8: a document, and copies whose last words differ."""
+    rng, out = random.Random(seed), []
+    for f, t in enumerate(texts_of(seed, families, 204)):
+        w = t.split()
+        for cut in rng.sample(range(0, 75), 3):
+            out.append(" ".join([*w[: 204 - cut], *(f"f{f}c{cut}n{i}" for i in range(cut))]))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_groups_are_those_of_exact_similarity(spark, block):
+    texts = [*near_and_below(), "one two three", "one two three", "", " ".join(["again and again the same"] * 40), " ".join(["again and again the same"] * 40) + " end"]
+    got = {r["doc_id"]: r["component_id"] for r in similar_groups(table(spark, [(i, t, "en") for i, t in enumerate(texts)]), block=block).collect()}
+    sets = [shingles(t) if t.split() else set() for t in texts]
+    group = list(range(len(texts)))
+    for _ in texts:
+        group = [min(group[j] for j, b in enumerate(sets) if j == i or (a or b) and len(a & b) >= 0.8 * len(a | b)) for i, a in enumerate(sets)]
+    assert len(set(group)) not in (1, len(texts))
+    assert got == dict(enumerate(group))
+
+
+def test_a_long_shared_passage_is_no_near_copy(spark):
+    """Documents at a similarity of 0.74 to 0.79 all stay."""
+    rows = []
+    for f, t in enumerate(texts_of(9, 30, 200)):
+        w = t.split()
+        rows += [(2 * f, t), (2 * f + 1, " ".join([*w[: 200 - 24 - f % 4], *(f"f{f}n{i}" for i in range(24 + f % 4))]))]
+    assert len(list(brute_kept(rows))) == 60
+    got = corpus_pipeline.simhash_dedup(spark, table(spark, [(i, t, "en") for i, t in rows]), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(60))
