@@ -21,6 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     model = train(docs.select("text", "lang"))
     judged = predict(docs, model, keep=COLUMNS)
+    if model is None:  # the score of `und` is 1 for texts without a letter, 0 for the others
+        return judged.where("score = 0").select(*COLUMNS)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).select(*COLUMNS)
 
 

@@ -123,3 +123,9 @@ def test_a_long_shared_passage_is_no_near_copy(spark):
     assert len(list(brute_kept(rows))) == 60
     got = corpus_pipeline.simhash_dedup(spark, table(spark, [(i, t, "en") for i, t in rows]), "")
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(60))
+
+
+def test_language_id_without_any_label(spark):
+    rows = [(1, "some text", None), (2, "12 34 !", None), (None, "é", None), (3, None, None), (4, "", None)]
+    got = corpus_pipeline.language_id(spark, table(spark, rows), "")
+    assert sorted(r["text"] for r in got.collect()) == ["some text", "é"]
