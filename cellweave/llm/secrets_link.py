@@ -34,17 +34,20 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Patterns of the weak kinds.
 WEAK_ID = r"""(?i:(?:client|account|user|key)[_-]?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{32})(?=[A-Za-z0-9+/_-]{0,199}[0-9])(?=[A-Za-z0-9+/_-]{0,199}[A-Z])(?=[A-Za-z0-9+/_-]{0,199}[a-z])[A-Za-z0-9+/_-]{32,200}={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"(?i:https?://[a-z0-9.-]{1,255}+(?::[0-9]{2,5})?(?:/[^\s\"'<>]{0,200})?|\b[a-z0-9-]++(?:\.[a-z0-9-]{1,63}+){1,8}+:[0-9]{2,5}\b)"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])"
+#: What an opaque token holds, tested on the whole token.
+OPAQUE_HOLDS = ("[0-9]", "[A-Z]", "[a-z]")
+ENDPOINT = r"(?i:https?://[a-z0-9.-]++(?::[0-9]{2,5})?(?:/[^\s\"'<>]*+)?|\b[a-z0-9-]++(?:\.[a-z0-9-]{1,63}+){1,8}+:[0-9]{2,5}\b)"
 KINDS = ("assign", "access", "hex", "id", "opaque", "endpoint")
 
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
-def _spans(text: str, pattern: str, rank: int, group: int = 0, least: int = 0) -> str:
-    """SQL for the spans of a pattern's matches in the column `text`."""
+def _spans(text: str, pattern: str, rank: int, group: int = 0, least: int = 0, holds: tuple[str, ...] = ()) -> str:
+    """SQL for the spans of a pattern's matches in the column `text`; the group has at least `least`
+    characters and a match of each pattern of `holds`."""
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    keep = f"length(m.g) >= {least}" if least else "true"
+    keep = " AND ".join([f"length(m.g) >= {least}", *(f"m.g RLIKE '{h}'" for h in holds)])
     return f"""
     CASE WHEN {text} RLIKE {p} THEN
       transform(filter(
@@ -84,7 +87,7 @@ def scan(docs: DataFrame, scope: int = 160, id_col: str = "doc_id", text_col: st
     rows = kept_and_text(docs, keep, text_col).select(F.struct(*keep).alias("kept"), F.coalesce("__text", F.lit("")).alias("text"))
     base = "concat(" + ",".join((_spans("text", ASSIGN, 0, group=2, least=6), _spans("text", ACCESS, 1), _spans("text", HEX, 2))) + ")"
     rows = rows.withColumn("base", F.array_sort(F.expr(base)))
-    weak = "concat(" + ",".join((_spans("text", WEAK_ID, 3), _spans("text", OPAQUE, 4), _spans("text", ENDPOINT, 5))) + ")"
+    weak = "concat(" + ",".join((_spans("text", WEAK_ID, 3), _spans("text", OPAQUE, 4, holds=OPAQUE_HOLDS), _spans("text", ENDPOINT, 5))) + ")"
     rows = rows.withColumn("weak", F.array_sort(F.expr(weak)))
     clear = "filter(weak, w -> w.rank = 5 OR NOT exists(base, b -> b.start < w.end AND w.start < b.end))"
     rows = rows.withColumn("weak", F.expr(f"CASE WHEN size(weak) = 0 OR size(base) = 0 THEN weak ELSE {clear} END"))

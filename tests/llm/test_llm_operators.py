@@ -245,6 +245,19 @@ def test_redaction_keeps_the_rest(spark):
     assert secrets_link.digest(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [32, 200, 201, 344, 4097, 100_000])
+def test_secrets_of_any_length(spark, n):
+    token = "g" * (n - 2) + "B7"  # what a token has to hold comes last
+    url = "https://db.example.org:5432/" + "p" * n
+    texts = [f"{KEY} {token}", f"client_id=abcd {token}==", f"{KEY} password=abcdefgh {url} end", f"{KEY} " + "g" * n + "B", f"{KEY} {token}==="]
+    d = docs(spark, *texts)
+    spans = [r["spans"] for r in secrets_link.digest(d).orderBy("doc_id").collect()]
+    assert spans[:2] == [f"access:0:20,opaque:21:{21 + n}", f"id:0:14,opaque:15:{17 + n}"]
+    assert spans[2] == f"access:0:20,assign:21:38,endpoint:39:{39 + len(url)}"
+    assert spans[3:] == ["access:0:20"] * 2
+    assert [r[1] for r in secrets_link.redact(d).orderBy("doc_id").collect()][:3] == ["[secret] [secret]", "[secret] [secret]", "[secret] [secret] [secret] end"]
+
+
 # ------------------------------------------------------------------ WARC
 
 
