@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier confirmed by template comparison.
 
-Paragraphs are lines; a line of more than `window` words is judged in overlapping windows. Sparse
+Paragraphs are runs of lines that aren't blank. Each line is judged by itself, then the
+whole paragraph; one of more than `window` words is judged in overlapping windows. Sparse
 features (word one- and two-grams) go through a multinomial logistic regression fitted with
 follow-the-regularised-leader on made examples: cut, garbled and embedded templates of each family,
 and for the unknown class made-up sentences of ordinary and legal words and a bounded sample of the
@@ -8,8 +9,8 @@ corpus's own lines. A temperature, fitted on held-back examples, calibrates the
 the unknown class among them. A prediction stands if the best template of its family shares enough
 word pairs with the paragraph.
 
-Scale: a map over whole texts. A text without any of the anchors holds no template's anchor, so no
-prediction could be confirmed: it's passed over after one search.
+Scale: a map over whole texts. A window with fewer word pairs of templates than any confirmation needs
+is passed over.
 
 Defined cases: null and empty texts have no findings; repeated rows report each; equal scores take the
 first family in order; adjacent windows of a line report the family once, with the span of all;
@@ -17,6 +18,7 @@ empty tables give none.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -86,7 +88,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "Unlicense": ("this is free and unencumbered software released into the public domain",),
 }
-#: Every template holds one of these; texts without any are passed over.
+#: The word pairs of each template, and of all.
+TEMPLATE_PAIRS = [set(zip(t.split(), t.split()[1:], strict=False)) for ts in TEMPLATES.values() for t in ts]
+PAIRS = set().union(*TEMPLATE_PAIRS)
+#: Every template holds one of these; training takes plain lines without any.
 ANCHORS = ("licens", "licenc", "copyright", "warrant", "redistribut", "public domain", "hereby granted")
 #: Words for made-up sentences of the unknown class.
 ORDINARY = "the of and to in a is that it for was on as with be by at this had not are but from or have an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because long each just state people those too mr how little good world make very year still see own work men day get here between both life being under three never know same last another while us might great go come since against right came take used himself few house use place during high without again home around small however found mrs part school thought went say general once upon".split()
@@ -133,19 +138,38 @@ class LicenseModel:
 
     def find(self, text: str | None, least: float, shared: float) -> list[tuple[int, str, float, float, int, int]]:
         """(line, family, score, similarity, start, end) of each finding; code points, end exclusive."""
-        low = (text or "").lower()
-        if not any(a in low for a in ANCHORS):
-            return []
-        out, at = [], 0
-        for n, line in enumerate(text.split("\n")):
-            small = line.lower()
-            if any(a in small for a in ANCHORS):
-                out += self._line(n, line, at, least, shared)
+        out, at, n, text = [], 0, 0, text or ""
+        lines: list[tuple[int, int, str]] = []  # (number, place, line) of the paragraph's lines
+        for n, line in enumerate([*text.split("\n"), ""]):
+            if line.strip():
+                lines.append((n, at, line))
+            elif lines:
+                out += self._paragraph(lines, text, least, shared)
+                lines = []
             at += len(line) + 1
         return out
 
-    def _line(self, n: int, line: str, at: int, least: float, shared: float) -> list:
-        words = words_of(line)
+    def _paragraph(self, lines: list[tuple[int, int, str]], text: str, least: float, shared: float) -> list:
+        """The findings of each line, then those of windows over the whole paragraph, cut to the pairs they
+        share with their template: they widen a finding of their family that they overlap, or are new."""
+        out = [f for n, at, line in lines for f in self._line(n, line, at, least, shared)]
+        if len(lines) > 1:
+            first, last = lines[0], lines[-1]
+            for _, family, p, same, start, end in self._line(first[0], text[first[1] : last[1] + len(last[2])], first[1], least, shared, cut=True):
+                for f in [f for f in out if f[1] == family and f[4] < end and start < f[5]]:
+                    out.remove(f)
+                    p, same, start, end = max(p, f[2]), max(same, f[3]), min(start, f[4]), max(end, f[5])
+                out.append((max(n for n, at, _ in lines if at <= start), family, p, same, start, end))
+        return sorted(out)
+
+    def _line(self, n: int, line: str, at: int, least: float, shared: float, cut: bool = False) -> list:
+        """Findings by family; with cut, one for each window, cut to the pairs that the template has."""
+        words, each = words_of(line), []
+        # windows with fewer template pairs than the least that confirms are passed over
+        pairs = [p in PAIRS for p in zip((w for w, _, _ in words), (w for w, _, _ in words[1:]), strict=False)]
+        need = max(1, min(math.ceil(shared * min(8, len(t)) - 1e-9) for t in TEMPLATE_PAIRS))
+        if sum(pairs) < need:
+            return []
         found: dict[str, tuple] = {}
         # whole lines first; long ones in windows of two widths, so a notice fills a fair share of one
         spans = {(0, len(words))} if len(words) <= self.window else set()
@@ -154,24 +178,28 @@ class LicenseModel:
                 spans |= {(i, min(len(words), i + width)) for i in range(0, len(words) - width // 2, width // 2)}
         for lo, hi in sorted(spans):
             part = [w for w, _, _ in words[lo:hi]]
-            text = " ".join(part)
-            if not any(a in text for a in ANCHORS):
+            if sum(pairs[lo : hi - 1]) < need:
                 continue
             p = self.probabilities(part)
             best = int(p.argmax())
             if best == len(self.families) - 1 or p[best] < least:
                 continue
             family = self.families[best]
-            same = max(pairs_shared(part, t.split()) for t in TEMPLATES[family])
+            same, template = max((pairs_shared(part, t.split()), t) for t in TEMPLATES[family])
             if same < shared:
                 continue
+            if cut:
+                want = set(zip(template.split(), template.split()[1:], strict=False))
+                hits = [i for i in range(lo, hi - 1) if (words[i][0], words[i + 1][0]) in want]
+                each.append((n, family, float(p[best]), same, at + words[hits[0]][1], at + words[hits[-1] + 1][2]))
+                continue
             old = found.get(family)
             span = (at + words[lo][1], at + words[hi - 1][2])
             if old is None:
                 found[family] = (n, family, float(p[best]), same, *span)
             else:
                 found[family] = (n, family, max(old[2], float(p[best])), max(old[3], same), min(old[4], span[0]), max(old[5], span[1]))
-        return [found[f] for f in sorted(found)]
+        return each if cut else [found[f] for f in sorted(found)]
 
 
 def _examples(rng: np.random.Generator, per_template: int) -> Iterator[tuple[str, list[str]]]:

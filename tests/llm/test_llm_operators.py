@@ -417,6 +417,16 @@ def test_licenses_confirm_and_reject(spark):
     assert licenses.scan(docs(spark, "a").limit(0), model).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    model = licenses.train(docs(spark, "plain words here", None, ""))
+    texts = [
+        "Licensed under the\nMIT License", "free of charge to any person obtaining a copy of this software and associated documentation files",
+        "This is free and unencumbered software released into the public\ndomain", "Licensed under the\n\nMIT License",
+    ]
+    got = [(r["doc_id"], r["family"], r["line"], r["start"], r["end"]) for r in licenses.scan(docs(spark, *texts), model).collect()]
+    assert sorted(got) == [(0, "MIT", 0, 0, len(texts[0])), (1, "MIT", 0, 0, len(texts[1])), (2, "Unlicense", 0, 0, len(texts[2]))]
+
+
 # ------------------------------------------------------------------ decontamination
 
 
