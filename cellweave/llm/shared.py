@@ -43,7 +43,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.written_at = path
+    return held
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialise` that nothing reads any more."""
+    for t in tables:
+        delete_folder(t.sparkSession, t.written_at)
 
 
 def small(ids: DataFrame, most: int = 500_000) -> DataFrame:
@@ -90,7 +103,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         # an edge's smaller end sends its larger end to the smallest neighbour of the smaller end
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
+        last = now
         now, after = _written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        discard(last)
         if after == mark:
             break
         mark = after

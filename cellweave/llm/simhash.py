@@ -28,17 +28,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import Forest, as_documents, connected_components, deal_blocks, ensure_workers_import, materialise, small
+from cellweave.llm.shared import Forest, as_documents, connected_components, deal_blocks, discard, ensure_workers_import, materialise, small
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits; sums of up to 255 rows fit a byte."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255
+    out = bits[whole:].sum(0, dtype=np.uint8).astype(np.int64)
+    if whole:
+        out += bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+    return out
+
+
 def _majority(hashes: Iterator[np.ndarray]) -> int:
     ones, n = np.zeros(64, dtype=np.int64), 0
     for h in hashes:
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += _ones(h)
         n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
 
@@ -63,32 +73,16 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, words: int = 4, wide: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, wide): fp is the fingerprint as a signed long; wide holds `wide` further ones, from
-    mixed hashes, for a finer estimate of the angle."""
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long."""
     ensure_workers_import(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("wide", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, more = [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                if not wide:
-                    fps.append(_majority(shingle_hashes(text, words)))
-                    more.append([])
-                    continue
-                ones, n = np.zeros((wide + 1, 64), dtype=np.int64), 0
-                for h in shingle_hashes(text, words):
-                    n += len(h)
-                    for k in range(wide + 1):
-                        ones[k] += np.unpackbits((mixed(h, k) if k else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                packed = np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel() if n else np.zeros(wide + 1, "<u8")
-                fps.append(int(packed[0]))
-                more.append(packed[1:].view("<i8").tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype="<u8").view("<i8"), pa.int64()), pa.array(more, pa.list_(pa.int64()))], schema=schema)
+            fps = np.array([_majority(shingle_hashes(t.as_py(), words)) for t in batch.column(1)], dtype="<u8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"), pa.int64())], names=["doc_id", "fp"])
 
-    return as_documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, wide array<long>")
+    return as_documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- the plan of partitions
@@ -138,17 +132,23 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
 def pairs_within(n: int, both: np.ndarray, group: list[int], most: int) -> list[float]:
     """Estimated pairs of rows that differ in at most t bits of the group, t = 0..most.
 
-    From the bits' own frequencies, with the group's bits as independent; correlated bits make more
-    agreement, which the sum over joint frequencies of bit pairs corrects to first order."""
-    p = np.diag(both) / max(1, n)
-    differ = [float(2 * p[b] * (1 - p[b])) for b in group]
-    dist = np.zeros(len(group) + 1)
-    dist[0] = 1.0
-    for q in differ:
-        dist[1:] = dist[1:] * (1 - q) + dist[:-1] * q
-        dist[0] *= 1 - q
-    pairs = n * (n - 1) / 2
-    return [float(pairs * dist[: t + 1].sum()) for t in range(most + 1)]
+    The bits form a chain: whether a pair of rows differs in a bit depends on whether it differs in the
+    bit before, by the joint counts of the two bits."""
+    n = max(1, n)
+    p = np.diag(both) / n
+    dist = np.zeros((2, len(group) + 1))  # (agrees or differs in the last bit, bits that differ)
+    q = 2 * p[group[0]] * (1 - p[group[0]])
+    dist[0, 0], dist[1, 1] = 1 - q, q
+    for a, b in zip(group, group[1:], strict=False):
+        c11 = both[a, b] / n
+        c10, c01 = p[a] - c11, p[b] - c11
+        c00 = 1 - c11 - c10 - c01
+        move = np.array([[c11**2 + c10**2 + c01**2 + c00**2, 2 * (c11 * c10 + c01 * c00)], [2 * (c11 * c01 + c10 * c00), 2 * (c11 * c00 + c10 * c01)]])
+        move /= np.maximum(move.sum(1, keepdims=True), 1e-300)
+        agrees, differs = dist[0] * move[0, 0] + dist[1] * move[1, 0], dist[0] * move[0, 1] + dist[1] * move[1, 1]
+        dist[0], dist[1, 0], dist[1, 1:] = agrees, 0, differs[:-1]
+    near = np.cumsum(dist.sum(0))
+    return [float(n * (n - 1) / 2 * near[min(t, len(group))]) for t in range(most + 1)]
 
 
 #: Cost of a filed or probing row against that of one candidate's comparison.
@@ -187,6 +187,28 @@ def plan_partitions(n: int, both: np.ndarray, bits: int) -> list[tuple[list[int]
     return best[1]
 
 
+def differing(similar: float) -> float:
+    """Chance that a bit differs between sets of this Jaccard similarity (the most, at equal sizes)."""
+    return math.acos(min(1.0, 2 * similar / (1 + similar))) / math.pi
+
+
+def meet_chance(plan: list[tuple[list[int], int]], p: float) -> float:
+    """Chance that a pair whose bits differ independently with chance p meets in some partition."""
+    miss = 1.0
+    for group, t in plan:
+        miss *= 1 - sum(math.comb(len(group), d) * p**d * (1 - p) ** (len(group) - d) for d in range(t + 1))
+    return 1 - miss
+
+
+def plan_for(n: int, both: np.ndarray, similar: float, recall: float) -> list[tuple[list[int], int]]:
+    """The plan of the smallest radius in which pairs at `similar` meet with the chance `recall`."""
+    for bits in range(64):
+        plan = plan_partitions(n, both, bits)
+        if meet_chance(plan, differing(similar)) >= recall:
+            return plan
+    return plan
+
+
 # ---------------------------------------------------------------- probe and verify
 
 
@@ -276,30 +298,21 @@ def _links_of(batches: Iterator[pa.RecordBatch], bits: int, wide: int, wide_bits
 
 
 def links(fps: DataFrame, bits: int, wide: int = 0, wide_bits: int = 0, block: int = 4096, plan: list | None = None) -> DataFrame:
-    """Links (a, b) that join all nodes whose fingerprints are within `bits` (and, with wide, within
-    wide_bits of the wide part), from rows (fp, node, wide). A spanning forest per bucket: enough for groups."""
-    n, both = bit_counts(fps)
-    plan = plan or plan_partitions(n, both, bits)
+    """Links (a, b) that join the nodes that meet in a partition of the plan and whose fingerprints are
+    within `bits` (and, with wide, within wide_bits of the wide part), from rows (fp, node, wide). The plan
+    of `bits` lets all of these meet. A spanning forest per bucket: enough for groups."""
+    plan = plan or plan_partitions(*bit_counts(fps), bits)
     dealt = deal_blocks(_signatures(fps, plan), ["part", "key"], F.xxhash64("node"), block, F.col("role") == 0).select("part", "key", "a", "b", "role", "fp", "node", "wide")
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return dealt.repartition(parts, "part", "key", "a", "b").sortWithinPartitions("part", "key", "a", "b", "role").mapInArrow(lambda it: _links_of(it, bits, wide, wide_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, wide: int = 0, wide_bits: int = 0, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of docs; component_id: the smallest reachable doc_id.
-
-    Rows with equal fingerprints are one node. With wide, that many further fingerprints are probed in
-    the same way (a link in any of them will do) and a link also needs the fingerprints together, the
-    first and the further ones, to differ in at most wide_bits; rows with equal first ones are still one node."""
-    prints = materialise(fingerprints(docs, words, wide, id_col, text_col), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("wide").alias("wide"), F.min("doc_id").alias("least_id")).select("fp", F.concat(F.array("fp"), "wide").alias("all"), "least_id"), "nodes")
-    found = None
-    for k in range(wide + 1):
-        fp = F.get("all", F.lit(k))
-        all_bits = F.col("all") if wide else F.array().cast("array<long>")
-        part = links(nodes.select(fp.alias("fp"), F.col("fp").alias("node"), all_bits.alias("wide")), bits, wide + 1 if wide else 0, wide_bits, block)
-        found = part if found is None else found.unionByName(part)
-    roots = connected_components(found)
+    Rows with equal fingerprints are one node."""
+    prints = materialise(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
+    roots = connected_components(links(nodes.select("fp", F.col("fp").alias("node"), F.array().cast("array<long>").alias("wide")), bits, block=block))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(low, "root").select("fp", "component_id")
@@ -332,87 +345,149 @@ def set_prints(docs: DataFrame, words: int, prints: int) -> DataFrame:
                 for at in range(0, len(h), _CHUNK):
                     part = h[at : at + _CHUNK]
                     for k in range(prints):
-                        ones[k] += np.unpackbits((mixed(part, k) if k else part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                        ones[k] += _ones(mixed(part, k) if k else part)
                 found.append(np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<i8").ravel().tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, digest binary, prints array<long>")
 
 
+def _similar_pairs(nodes: np.ndarray, known: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similar: float, cross: bool) -> Iterator[tuple[int, int]]:
+    """A forest of links that joins all pairs of nodes at `similar` or more that `known`, a label of each
+    node, doesn't join yet; with cross, only pairs of both sides."""
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]  # the empty set is like no other
+    nodes, side, size, label = nodes[order], side[order], size[order], np.unique(known[order], return_inverse=True)[1]
+    if len(order) < 2:
+        return
+    values, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(values), dtype=np.int32)
+    # in order of size, those that may be similar to one follow it without a gap
+    last = np.searchsorted(size * similar, size + 1e-9, side="right")
+    for i in range(len(order) - 1):
+        may = label[i + 1 : last[i]] != label[i]
+        if cross:
+            may &= side[i + 1 : last[i]] != side[i]
+        j = np.nonzero(may)[0] + i + 1
+        if not len(j):
+            continue
+        mark[ids[at[i] : at[i + 1]]] = 1
+        if 4 * len(j) < len(may):
+            part = np.concatenate([ids[at[k] : at[k + 1]] for k in j.tolist()])
+            both = np.add.reduceat(mark[part], np.concatenate([[0], np.cumsum(size[j])[:-1]]))
+        else:
+            both = np.add.reduceat(mark[ids[at[i + 1] : at[last[i]]]], at[i + 1 : last[i]] - at[i + 1])[j - i - 1]
+        mark[ids[at[i] : at[i + 1]]] = 0
+        j = j[both + 1e-9 >= similar * (size[i] + size[j] - both)]
+        if len(j):
+            joined, first = np.unique(label[j], return_index=True)
+            for k in j[first].tolist():
+                yield int(nodes[i]), int(nodes[k])
+            label[np.isin(label, joined)] = label[i]
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
-    """A sorted stream of (root, a, b, role, node, shingles) to links of nodes: in each group (root, a, b)
-    a forest that spans all pairs with an exact Jaccard similarity of `similar` or more."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """A sorted stream of (root, a, b, side, node, known, shingles) to confirmed links: each group
+    (root, a, b) is compared within, or where a <> b across its two sides."""
+
+    def close() -> pa.RecordBatch:
+        nodes, known, side = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+        found = list(_similar_pairs(nodes, known, side, [r[3] for r in rows], similar, group[1] != group[2]))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def links_in(nodes: list[int], roles: list[int], sets: list[np.ndarray], cross: bool) -> Iterator[tuple[int, int]]:
-        n, role, size = len(nodes), np.array(roles), np.array([len(s) for s in sets])
-        ends = np.cumsum(size)
-        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        mark, forest = np.zeros(len(values), dtype=bool), Forest()
-        forest.grow(n)
-        for i in range(n):
-            up = np.array([forest.find(j) for j in range(i + 1, n)], dtype=np.int64)
-            low, high = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
-            may = (up != forest.find(i)) & (low + 1e-9 >= similar * high)
-            if cross:
-                may &= role[i + 1 :] != role[i]
-            if not may.any():
-                continue
-            own = ids[ends[i] - size[i] : ends[i]]
-            mark[own] = True
-            rest = np.concatenate([[0], np.cumsum(mark[ids[ends[i] :]])])
-            mark[own] = False
-            at = ends[i + 1 :] - ends[i]
-            both = rest[at] - rest[at - size[i + 1 :]]
-            j = np.nonzero(may & (both + 1e-9 >= similar * (size[i] + size[i + 1 :] - both)))[0] + i + 1
-            for x, y in forest.links(j, np.full(len(j), i)):
-                yield nodes[x], nodes[y]
-
-    def flush(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
-
-    group, nodes, roles, sets = None, [], [], []
+    group, rows = None, []
     for batch in batches:
-        root, a, b, role, node = (batch.column(i).to_pylist() for i in range(5))
+        root, a, b, side, node, known = (batch.column(i).to_pylist() for i in range(6))
         for r in range(batch.num_rows):
             now = (root[r], a[r], b[r])
             if now != group:
-                if len(nodes) > 1:
-                    yield flush(list(links_in(nodes, roles, sets, group[1] != group[2])))
-                group, nodes, roles, sets = now, [], [], []
-            nodes.append(node[r])
-            roles.append(role[r])
-            sets.append(np.frombuffer(batch.column(5)[r].as_py(), "<u8"))
-    if len(nodes) > 1:
-        yield flush(list(links_in(nodes, roles, sets, group[1] != group[2])))
-
-
-def similar_groups(docs: DataFrame, words: int = 5, bits: int = 10, prints: int = 6, all_bits: int = 96, similar: float = 0.8, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                if len(rows) > 1:
+                    yield close()
+                group, rows = now, []
+            rows.append((node[r], known[r], side[r], np.frombuffer(batch.column(6)[r].as_py(), "<u8")))
+    if len(rows) > 1:
+        yield close()
+
+
+def _compared(dealt: DataFrame, similar: float) -> DataFrame:
+    """Confirmed links (a, b), written, of rows (root, a, b, side, node, known, shingles)."""
+    parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = dealt.select("root", "a", "b", "side", "node", "known", "shingles")
+    return materialise(rows.repartition(parts, "root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(lambda it: _confirmed(it, similar), "a long, b long"), "confirmed")
+
+
+def _weight(block_bytes: int):
+    """Blocks that the rows' shingles fill."""
+    return F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("shingles") + 64) / block_bytes)).cast("int")
+
+
+def confirmed_links(held: DataFrame, similar: float, block_bytes: int) -> DataFrame:
+    """Links that join all pairs at `similar` or more within each root of rows (root, node, shingles).
+
+    A root of one block is compared in one task. A larger one is first dealt out by a hash and compared
+    within its blocks, then the smallest nodes of the clusters found so far are compared in the same way;
+    last, all pairs of blocks are compared but for those that lie in one cluster. Large clusters
+    have blocks of their own, so a group of copies, however large, meets only the blocks of the others."""
+    zero, node = F.lit(0), F.col("node")
+    large = materialise(held.groupBy("root").agg(_weight(block_bytes).alias("blocks")).where("blocks > 1"), "blocks")
+    home = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int")
+    rows = held.join(small(large), "root", "left").withColumn("a", home)
+    found = _compared(rows.select("root", "a", F.col("a").alias("b"), zero.alias("side"), "node", node.alias("known"), "shingles"), similar)
+    if large.isEmpty():
+        return found
+    rest = held.join(small(large.select("root")), "root", "left_semi")
+
+    def named(links: DataFrame) -> DataFrame:
+        return rest.join(connected_components(links).select("node", F.col("root").alias("known")), "node", "left").select("root", "node", F.coalesce("known", "node").alias("known"), "shingles")
+
+    heads = named(found).where("node = known")
+    dealt = small(materialise(heads.groupBy("root").agg(_weight(block_bytes).alias("blocks")), "blocks"))
+    more = _compared(heads.join(dealt, "root").withColumn("a", home).select("root", "a", F.col("a").alias("b"), zero.alias("side"), "node", "known", "shingles"), similar)
+    found = found.unionByName(more)
+    rows = materialise(named(found), "clusters")
+    # the blocks: a cluster of more than one block has its own, the other rows of the root share
+    size = rows.groupBy("root", "known").agg(_weight(block_bytes).alias("own"), F.sum(F.octet_length("shingles") + 64).alias("bytes"))
+    shared = size.where("own = 1").groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("blocks")).withColumn("of", F.lit(None).cast("long"))
+    blocks = materialise(shared.unionByName(size.where("own > 1").select("root", F.col("own").alias("blocks"), F.col("known").alias("of"))), "blocks")
+    rows = rows.join(small(blocks.select("root", F.col("of").alias("known"), F.lit(True).alias("large")).where("known IS NOT NULL")), ["root", "known"], "left")
+    rows = rows.withColumn("of", F.when(F.col("large"), F.col("known")))
+    each = blocks.select("root", "of", F.posexplode(F.sequence(F.lit(1), "blocks")).alias("k", "_")).drop("_")
+    left = each.toDF("root", "of1", "k1")
+    pairs = left.join(each.toDF("root", "of2", "k2"), "root").where("struct(coalesce(of1, -1), k1) <= struct(coalesce(of2, -1), k2) AND NOT coalesce(of1 = of2, false)")
+    pairs = pairs.select("root", F.struct("of1", "k1").alias("x"), F.struct("of2", "k2").alias("y")).withColumn("a", F.xxhash64("x")).withColumn("b", F.xxhash64("y"))
+    ends = pairs.select("root", "a", "b", F.col("x.*"), F.lit(0).alias("side")).toDF("root", "a", "b", "of", "k", "side")
+    ends = ends.unionByName(pairs.where("a <> b").select("root", "a", "b", F.col("y.*"), F.lit(1).alias("side")).toDF("root", "a", "b", "of", "k", "side"))
+    mine = rows.join(small(blocks), (rows["root"] == blocks["root"]) & rows["of"].eqNullSafe(blocks["of"])).select(rows["root"], rows["of"], "node", "known", "shingles", home.alias("k"))
+    dealt = mine.join(ends, (mine["root"] == ends["root"]) & mine["of"].eqNullSafe(ends["of"]) & (mine["k"] == ends["k"])).select(mine["root"], "a", "b", "side", "node", "known", "shingles")
+    return found.unionByName(_compared(dealt, similar))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, prints: int = 6, all_bits: int = 80, similar: float = 0.8, recall: float = 0.995, block: int = 16384, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) per row of docs, whose ids must be distinct and not null. Groups are joined
     by pairs whose shingle sets have a Jaccard similarity of at least `similar`, computed exactly.
 
-    Candidates are within `bits` of 64 in one of the fingerprints and within all_bits of them together;
-    they only say which texts are looked at. Texts with equal sets are one node. The nodes that
-    candidates connect are dealt out in pairs of blocks, and in these all pairs are compared."""
-    spark = docs.sparkSession
+    Candidates meet in a partition of the first fingerprint and are within all_bits of all fingerprints;
+    they only say which texts are looked at. The plan's radius is the smallest in which pairs at
+    `similar` meet with the chance `recall` (for independent bits; the chance grows with the
+    similarity). Texts with equal sets are one node. Within what candidates connect all pairs are compared."""
     held = as_documents(docs, id_col, text_col)
     known = materialise(set_prints(held, words, prints), "set-prints")
     nodes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints")), "set-nodes")
-    found = None
-    for k in range(prints):
-        part = links(nodes.select(F.get("prints", F.lit(k)).alias("fp"), "node", F.col("prints").alias("wide")), bits, prints, all_bits)
-        found = part if found is None else found.unionByName(part)
+    known = known.select("doc_id", "digest")
+    fps = nodes.select(F.get("prints", F.lit(0)).alias("fp"), "node", F.col("prints").alias("wide"))
+    found = materialise(links(fps, 24, prints, all_bits, block, plan_for(*bit_counts(fps), similar, recall)), "candidates")
     near = materialise(connected_components(found), "near")
+    discard(found)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shingles = pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), shingles], names=["root", "node", "shingles"])
 
-    looked = held.join(small(near), F.col("doc_id") == F.col("node")).select("root", "node", "text").mapInArrow(sets, "root long, node long, shingles binary")
-    dealt = deal_blocks(materialise(looked, "shingles"), ["root"], F.xxhash64("node"), block).select("root", "a", "b", "role", "node", "shingles")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    pairs = dealt.repartition(parts, "root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(lambda it: _confirmed(it, similar), "a long, b long")
-    roots = connected_components(pairs).select("node", "root")
+    looked = materialise(held.join(small(near), F.col("doc_id") == F.col("node")).select("root", "node", "text").mapInArrow(sets, "root long, node long, shingles binary"), "shingles")
+    roots = materialise(connected_components(confirmed_links(looked, similar, block_bytes)).select("node", "root"), "groups")
+    discard(looked)
     named = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return known.join(named, "digest").select("doc_id", "component_id")

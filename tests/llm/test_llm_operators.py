@@ -145,25 +145,6 @@ def test_simhash_thresholds_cover_the_error_budget():
         assert len({b for g, _ in plan for b in g}) == sum(len(g) for g, _ in plan)
 
 
-def test_wide_verification_groups_similar_texts_only(spark):
-    """Five words, similarity 0.8: all pairs well over it are found, none well under it."""
-    rng = random.Random(8)
-    words = [f"w{i}" for i in range(2000)]
-    texts, family = [], []
-    for f in range(25):
-        b = [rng.choice(words) for _ in range(300)]
-        for _ in range(3):
-            c = list(b)
-            for _ in range(2):  # at most 10 of 296 shingles change on either side
-                c[rng.randrange(300)] = "changed"
-            texts.append(" ".join(c))
-            family.append(f)
-        texts.append(" ".join([*b[:150], *(rng.choice(words) for _ in range(150))]))  # shares half
-        family.append(1000 + f)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, *texts), words=5, bits=8, wide=4, wide_bits=56).collect()}
-    assert got == {i: family.index(f) for i, f in enumerate(family)}
-
-
 def test_simhash_null_ids_and_no_rows(spark):
     d = docs(spark, "a b", "a b").withColumn("doc_id", F.lit(None).cast("bigint"))
     assert [r["component_id"] for r in simhash.near_duplicates(d).collect()] == [None, None]

@@ -102,10 +102,10 @@ def near_and_below(seed=3, families=24):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_groups_are_those_of_exact_similarity(spark, block):
+@pytest.mark.parametrize(("block", "block_bytes"), [(16384, 8_000_000), (3, 2_000), (50, 6_000)])
+def test_groups_are_those_of_exact_similarity(spark, block, block_bytes):
     texts = [*near_and_below(), "one two three", "one two three", "", " ".join(["again and again the same"] * 40), " ".join(["again and again the same"] * 40) + " end"]
-    got = {r["doc_id"]: r["component_id"] for r in similar_groups(table(spark, [(i, t, "en") for i, t in enumerate(texts)]), block=block).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar_groups(table(spark, [(i, t, "en") for i, t in enumerate(texts)]), block=block, block_bytes=block_bytes).collect()}
     sets = [shingles(t) if t.split() else set() for t in texts]
     group = list(range(len(texts)))
     for _ in texts:
