@@ -31,11 +31,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows are told apart by a key of their own, written once, so null and repeated ids lose nothing.
     Groups are joined by pairs of texts that share five-word shingles with an exact Jaccard similarity of
-    0.8 or more. Candidates are within 10 of 64 bits in one of six fingerprints and 96 of all 384 bits."""
+    0.8 or more. Candidates meet in a partition of one fingerprint and differ in 80 of 384 bits at most."""
     from cellweave.llm.simhash import similar_groups
 
     rows = materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
-    groups = similar_groups(rows, words=5, bits=10, prints=6, all_bits=96, similar=0.8, id_col="row")
+    groups = similar_groups(rows, words=5, similar=0.8, id_col="row")
     groups = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     stay = groups.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
