@@ -219,10 +219,10 @@ def test_weak_candidates_need_their_complement(spark):
 
 
 def test_redaction_keeps_the_rest(spark):
-    d = docs(spark, f"one {KEY} two", None, "clean", f"p token=\"{'ab' * 20}\" q")
+    d = docs(spark, f"one {KEY} two", None, "clean", f"p token=\"{'ab' * 20}\" q", f"{KEY}{KEY}é{KEY}", " ".join(f"é{i} {KEY} x" for i in range(30)))
     out = secrets_link.redact(d)
     assert out.columns == d.columns
-    assert [r[1] for r in out.orderBy("doc_id").collect()] == ["one [secret] two", None, "clean", "p [secret]\" q"]
+    assert [r[1] for r in out.orderBy("doc_id").collect()] == ["one [secret] two", None, "clean", "p [secret]\" q", "[secret]é[secret]", " ".join(f"é{i} [secret] x" for i in range(30))]
     assert secrets_link.digest(d.limit(0)).count() == 0
 
 
@@ -239,6 +239,55 @@ def test_secrets_of_any_length(spark, n):
     assert [r[1] for r in secrets_link.redact(d).orderBy("doc_id").collect()][:3] == ["[secret] [secret]", "[secret] [secret]", "[secret] [secret] [secret] end"]
 
 
+def brute_spans(text, scope=160):
+    """All spans and links by comparing all pairs of parts."""
+    base = brute_base(text)
+    kinds = ((3, secrets_link.WEAK_ID), (4, secrets_link.OPAQUE), (5, secrets_link.ENDPOINT))
+    weak = [(m.start(), k, m.end()) for k, p in kinds for m in re.finditer(p, text) if k != 4 or all(re.search(h, m.group()) for h in secrets_link.OPAQUE_HOLDS)]
+    weak = [w for w in weak if w[1] == 5 or not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+    parts, out, links = sorted(base + weak), [], set()
+    roles = {"i": (1, 3), "s": (0, 2, 4), "p": (5,)}
+    for n, x in enumerate(parts):
+        found = {}
+        for role, ranks in roles.items():
+            for side in (0, 1):
+                near = [y for y in (parts[n + 1 :] if side else parts[:n]) if y[1] in ranks and (y[1] < 5 or y[2] <= x[0] or y[0] >= x[2])]
+                near = [y for y in near if (y[0] - x[2] if side else x[0] - y[2]) <= scope]
+                if near:
+                    found.setdefault(role, []).append(min(near) if side else max(near, key=lambda y: (y[2], y[0], y[1])))
+        use = {3: "s", 4: "ip", 5: "is"}.get(x[1], "")
+        if x[1] <= 2 or (x[1] < 5 and any(r in found for r in use)) or (x[1] == 5 and all(r in found for r in use)):
+            out.append(x)
+            links |= {(x, y) for r in use for y in found.get(r, ())}
+    name = lambda y: f"{secrets_link.KINDS[y[1]]}:{y[0]}:{y[2]}"
+    return ",".join(map(name, out)), {f"{name(x)}>{name(y)}" for x, y in links}
+
+
+def test_secret_links_against_all_pairs(spark):
+    rng = random.Random(11)
+    pieces = [KEY, TOKEN, "https://db.example.org:5432/x", f"https://cdn.example.com/assets/{TOKEN}", "client_id=abcd", "password=abcdefgh", "ab12" * 7, "host.example.org:8080", "filler " * 12, "é" * 30, "filler " * 40]
+    texts = [" ".join(rng.choices(pieces, k=rng.randint(1, 40))) for _ in range(80)] + [f"see https://cdn.example.com/assets/{TOKEN} alone", f"a {TOKEN} b.example.org:80"]
+    for r in secrets_link.digest(docs(spark, *texts)).collect():
+        spans, links = brute_spans(texts[r["doc_id"]])
+        assert r["spans"] == spans
+        assert set(filter(None, r["links"].split(","))) == links
+    assert brute_spans(texts[-2]) == ("", set()) and brute_spans(texts[-1])[0].startswith("opaque:2:")
+
+
+def test_many_findings_in_one_text(spark):
+    import time
+
+    n = 50_000
+    text = f"{KEY} {TOKEN} password=abcdefgh https://a.example.org/x\n" * (n // 4)
+    began = time.time()
+    r = secrets_link.digest(docs(spark, text)).first()
+    assert (r["n_access"], r["n_assign"]) == (n // 4, n // 4) and r["spans"].count(",") == n - 1
+    assert secrets_link.redact(docs(spark, text)).first()["text"] == "[secret] [secret] [secret] [secret]\n" * (n // 4)
+    hyphens = "a-" * 200_000 + " " + "a." * 200_000
+    assert secrets_link.digest(docs(spark, hyphens)).first()["spans"] == ""
+    assert time.time() - began < 120
+
+
 # ------------------------------------------------------------------ WARC
 
 
