@@ -509,3 +509,24 @@ def test_decontamination_against_brute_force(spark):
     kept = decontam.clean(docs(spark, *texts), bench)
     assert {r[0] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontam.contaminated(docs(spark, "a"), bench.limit(0)).count() == 0
+
+
+def test_short_items_match_exactly_between_word_boundaries(spark):
+    bench = spark.createDataFrame([(1, "Too  short"), (2, "x = 1"), (3, " \n"), (4, None), (5, "c++?")], "item_id bigint, text string")
+    texts = ["this is too\nshort.", "this is too shorter", "untoo short", "x = 12", "(X = 1)", "", None, "why c++? yes", "too shor"]
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.contaminated(docs(spark, *texts), bench).collect()}
+    assert got == {(0, 1, 0), (4, 2, 0), (7, 5, 0)}
+
+
+def test_repetitive_items_and_texts_take_linear_time():
+    import time
+
+    match, took = decontam.Matcher([(1, "na" * 200), (2, "ab" * 100 + "c"), (3, "na" * 100 + "x" + "na" * 100)], 0.06, 20), []
+    for n in (20_000, 80_000):
+        text = "na" * 150 + "b" + "na" * n
+        began = time.time()
+        got = match.matches(text)
+        took.append(time.time() - began)
+        # the second is nowhere, the third has one more letter than a run
+        assert [(i, d) for i, d, _, _ in got] == [(1, 0), (3, 1)]
+    assert took[1] < 8 * took[0] + 1 and took[1] < 20
