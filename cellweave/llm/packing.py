@@ -3,11 +3,14 @@
 A document's ids (with the closing id) are cut into pieces whose lengths are powers of two: as many
 pieces of the longest length as fit, then the binary digits of the rest, longest first. Pieces of
 one length form a bucket, each piece is a sequence by itself, so no sequence crosses documents and
-none holds padding. A pure map over documents: no shuffle, and a lost task is simply run again.
+none holds padding. Sequence numbers run bucket by bucket, so in their order equal lengths lie together;
+`write_buckets` stores a folder for each bucket. A pure map over documents: no shuffle, and a lost task
+is simply run again.
 
 Defined cases: null text packs as empty text (the closing id alone); empty tables give no rows;
 repeated rows are packed each by itself; null doc_id stays null; very long texts are tokenised in
-bounded parts cut only where the vocabulary's pattern always cuts.
+bounded parts cut only where the vocabulary's pattern always cuts, which is at white space: a text
+without any is one part.
 """
 from __future__ import annotations
 
@@ -146,6 +149,8 @@ class CachedTokenizer:
         return ids
 
 
+#: Bits of a sequence number below the bucket's: 25 for the partition and 33 for the row.
+_NUMBER_BITS = 58
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -174,9 +179,9 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, closing_id: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, ids, bucket, sequence_id, offset.
 
-    longest must be a power of two. bucket is the length's exponent; write the result partitioned by
-    it to batch equal lengths. sequence_id is unique within a result; offset is 0, as each piece is a
-    whole sequence. tokenizer_path is read by the workers (the file is installed with Python there).
+    longest must be a power of two. bucket is the length's exponent. sequence_id is unique within a
+    result, its top bits are the bucket's; offset is 0, as each piece is a whole sequence.
+    tokenizer_path is read by the workers (the file is installed with Python there).
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -204,4 +209,11 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, closing_id:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     pieces = as_documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>")
-    return pieces.select("*", F.log2("length").cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    pieces = pieces.select("*", F.round(F.log2("length")).cast("int").alias("bucket"), F.monotonically_increasing_id().alias("number"))
+    number = F.shiftleft(F.col("bucket").cast("long"), _NUMBER_BITS).bitwiseOR(F.col("number"))
+    return pieces.select(*pieces.columns[:-1], number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Store pieces with a folder bucket=k for each length 2^k, so a batch of one length reads one folder."""
+    pieces.write.partitionBy("bucket").parquet(path)

@@ -17,7 +17,7 @@ def op1_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellweave.llm.packing import pack
 
     pieces = pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), longest=1024, with_ids=False)
-    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op5_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
