@@ -109,41 +109,53 @@ def _rule_case(value: int) -> str:
     return "CASE " + " ".join(lines) + " END"
 
 
+def _text(s: str) -> str:
+    return f"({s} <> '' AND NOT regexp_matches({s}, '^\\{{[nht]\\}}'))"
+
+
+def _level(d: int) -> str:
+    """One level of the tree: from the table s{d} of paths with their prefixes to s{d + 1}."""
+    seg, after, side = f"segs[{d + 1}]", f"coalesce(segs[{d + 2}], '')", "host, prefix, lead"
+    return f"""
+c{d} AS MATERIALIZED (SELECT host, prefix, {seg} AS seg, {after} AS after, sum(n)::BIGINT AS c FROM s{d} WHERE len(segs) > {d} AND {_text(seg)} GROUP BY ALL),
+h{d} AS MATERIALIZED (SELECT host, prefix, after FROM c{d} WHERE {_text('after')} GROUP BY ALL HAVING count(*) > 1),
+k{d} AS MATERIALIZED (SELECT c.host, c.prefix, seg, CASE WHEN {_text('c.after')} AND h.after IS NULL THEN '{{w}}' ELSE c.after END AS what, sum(c)::BIGINT AS c
+  FROM c{d} c LEFT JOIN h{d} h ON c.host = h.host AND c.prefix = h.prefix AND c.after = h.after GROUP BY ALL),
+b{d} AS MATERIALIZED (SELECT host, prefix, seg, sum(c)::BIGINT AS size, count(*) AS kinds, max({{'c': c, 'what': what}}).what AS lead FROM k{d} GROUP BY host, prefix, seg),
+f{d} AS MATERIALIZED (SELECT host, prefix, lead, max({{'size': size, 'seg': seg, 'kinds': kinds}}) AS top FROM b{d} GROUP BY host, prefix, lead HAVING count(*) > 1),
+t{d} AS MATERIALIZED (SELECT f.host, f.prefix, f.lead, what, c AS t FROM k{d} k JOIN f{d} f ON k.host = f.host AND k.prefix = f.prefix AND k.seg = f.top.seg),
+g{d} AS MATERIALIZED (SELECT b.host, b.prefix, b.lead, b.seg, b.size, f.top.size AS top_size, f.top.kinds AS top_kinds, k.c, t.t
+  FROM b{d} b JOIN f{d} f USING ({side}) JOIN k{d} k ON k.host = b.host AND k.prefix = b.prefix AND k.seg = b.seg
+  LEFT JOIN t{d} t ON t.host = b.host AND t.prefix = b.prefix AND t.lead = b.lead AND t.what = k.what WHERE b.seg <> f.top.seg),
+q{d} AS MATERIALIZED (SELECT {side}, seg, 2 * (sum(c * ln(c / ((c + coalesce(t, 0))::DOUBLE * size / (size + top_size))) + CASE WHEN t > 0 THEN t * ln(t / ((c + t)::DOUBLE * top_size / (size + top_size))) ELSE 0 END)
+  + (top_size - sum(coalesce(t, 0))) * ln((size + top_size) / top_size::DOUBLE)) AS g, count(*) FILTER (WHERE t IS NULL) + top_kinds - 1 AS df FROM g{d} GROUP BY {side}, seg, size, top_size, top_kinds),
+l{d} AS MATERIALIZED (SELECT {side}, seg FROM q{d} WHERE g - df <= 3 * sqrt(greatest(1, 2 * df))),
+m{d} AS MATERIALIZED (SELECT host, prefix, seg, '{{~' || lead || '}}' AS token FROM (SELECT * FROM l{d} UNION SELECT host, prefix, lead, top.seg FROM f{d} SEMI JOIN l{d} USING ({side}))),
+s{d + 1} AS MATERIALIZED (SELECT s.host, path, n, good, bad, segs, CASE WHEN {seg} IS NULL THEN s.prefix ELSE s.prefix || '/' || coalesce(token, {seg}) END AS prefix, CASE WHEN token IS NULL THEN stratum ELSE stratum || '/' || {seg} END AS stratum
+  FROM s{d} s LEFT JOIN m{d} m ON s.host = m.host AND s.prefix = m.prefix AND m.seg = {seg}),"""
+
+
+_LEVELS = 8
 _OP3 = f"""
 WITH raw AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM raw),
-ruled AS (SELECT *, {_rule_case(0)} AS rule, {_rule_case(1)} AS ruled FROM split),
+ruled AS MATERIALIZED (SELECT *, {_rule_case(0)} AS rule, {_rule_case(1)} AS ruled FROM split),
 paths AS (SELECT host, path, count(*) AS n, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad FROM ruled GROUP BY 1, 2),
 cut AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS words FROM paths),
 look AS (SELECT *, list_transform(words, lambda s: regexp_extract(s, '(\\.[A-Za-z]{{1,5}})$', 1)) AS exts, list_transform(words, lambda s: regexp_replace(s, '\\.[A-Za-z]{{1,5}}$', '')) AS stems FROM cut),
-shaped AS (SELECT host, path, n, good, bad, list_transform(range(1, len(words) + 1), lambda i:
+s0 AS MATERIALIZED (SELECT host, path, n, good, bad, list_transform(range(1, len(words) + 1), lambda i:
   CASE WHEN regexp_matches(stems[i], '^[0-9]+$') THEN '{{n}}' || exts[i]
     WHEN regexp_matches(stems[i], '^[0-9A-Fa-f-]{{8,}}$') AND regexp_matches(stems[i], '[0-9]') AND regexp_matches(stems[i], '[A-Za-z]') THEN '{{h}}' || exts[i]
     WHEN regexp_matches(stems[i], '[0-9]') AND regexp_matches(stems[i], '[A-Za-z]') AND length(stems[i]) >= 12 THEN '{{t}}' || exts[i]
-    ELSE words[i] END) AS segs FROM look),
-classed AS (SELECT *, list_transform(segs, lambda s: CASE WHEN regexp_matches(s, '^\\{{[nht]\\}}') THEN s ELSE 'w' END) AS classes FROM shaped),
-each AS (SELECT host, path, n, good, bad, i, array_to_string(classes[1:i], '/') AS before, coalesce(classes[i + 2], '') AS after, segs[i + 1] AS seg, classes[i + 1] <> 'w' OR regexp_matches(segs[i + 1], '^\\{{[nht]\\}}') AS wild
-  FROM classed, LATERAL (SELECT unnest(range(len(segs))) AS i) u),
-sums AS (SELECT host, i, before, seg, after, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM each WHERE NOT wild GROUP BY ALL),
-cells AS (SELECT host, i, before, seg, after || ' good' AS what, good AS c FROM sums WHERE good > 0
-  UNION ALL SELECT host, i, before, seg, after || ' bad', bad FROM sums WHERE bad > 0 UNION ALL SELECT host, i, before, seg, after || ' none', n - good - bad FROM sums WHERE n - good - bad > 0),
-branches AS (SELECT host, i, before, seg, sum(c) AS size, max({{'c': c, 'what': what}}).what AS lead FROM cells GROUP BY host, i, before, seg),
-varied AS (SELECT host, i, before FROM branches GROUP BY ALL HAVING count(*) >= 20 AND max(size) <= 0.2::DOUBLE * sum(size)),
-few AS (SELECT host, i, before, lead, top.seg AS top_seg, top.size AS top_size FROM (SELECT host, i, before, lead, count(*) AS n, max({{'size': size, 'seg': seg}}) AS top FROM branches b
-  WHERE NOT EXISTS (FROM varied v WHERE v.host = b.host AND v.i = b.i AND v.before = b.before) GROUP BY host, i, before, lead) WHERE n > 1),
-branch AS (SELECT b.*, top_seg, top_size FROM branches b JOIN few USING (host, i, before, lead) WHERE seg <> top_seg),
-faced AS (SELECT host, i, before, lead, seg, size, top_size, what, sum(c) AS c, sum(t) AS t FROM (
-  SELECT b.host, b.i, b.before, b.lead, b.seg, size, top_size, what, c, 0 AS t FROM branch b JOIN cells k ON b.host = k.host AND b.i = k.i AND b.before = k.before AND b.seg = k.seg
-  UNION ALL SELECT b.host, b.i, b.before, b.lead, b.seg, size, top_size, what, 0, c FROM branch b JOIN cells k ON b.host = k.host AND b.i = k.i AND b.before = k.before AND b.top_seg = k.seg) GROUP BY ALL),
-tested AS (SELECT host, i, before, lead, seg, 2 * sum(CASE WHEN c > 0 THEN c * ln(c / ((c + t)::DOUBLE * size / (size + top_size))) ELSE 0 END + CASE WHEN t > 0 THEN t * ln(t / ((c + t)::DOUBLE * top_size / (size + top_size))) ELSE 0 END) AS g, count(*) - 1 AS df FROM faced GROUP BY ALL),
-alike AS (SELECT host, i, before, lead, seg FROM tested WHERE g - df <= 3 * sqrt(greatest(1, 2 * df))),
-merged AS (SELECT * FROM alike UNION SELECT f.host, f.i, f.before, f.lead, top_seg FROM few f JOIN alike a ON f.host = a.host AND f.i = a.i AND f.before = a.before AND f.lead = a.lead),
-named AS (SELECT e.host, e.path, e.i, CASE WHEN wild THEN e.seg WHEN v.host IS NOT NULL THEN '{{*}}' WHEN m.host IS NOT NULL THEN '{{~' || m.lead || '}}' ELSE e.seg END AS token FROM each e
-  LEFT JOIN varied v ON e.host = v.host AND e.i = v.i AND e.before = v.before LEFT JOIN merged m ON e.host = m.host AND e.i = m.i AND e.before = m.before AND e.seg = m.seg),
-whole AS (SELECT host, path, string_agg(token, '/' ORDER BY i) AS tokens FROM named GROUP BY ALL),
-templates AS (SELECT p.*, p.host || '/' || coalesce(tokens, '') || CASE WHEN tokens IS NOT NULL AND ends_with(p.path, '/') THEN '/' ELSE '' END AS template FROM paths p LEFT JOIN whole w ON p.host = w.host AND p.path = w.path),
-score AS (SELECT template, (sum(bad) + 0.2::DOUBLE) / (sum(good) + sum(bad) + 2::DOUBLE) AS purity, sum(good) + sum(bad) AS labels FROM templates GROUP BY 1)
+    ELSE words[i] END) AS segs, '' AS prefix, '' AS stratum FROM look),
+{"".join(map(_level, range(_LEVELS)))}
+templates AS MATERIALIZED (SELECT host, path, n, good, bad, stratum, host || prefix || list_aggregate(list_transform(segs[{_LEVELS + 1}:], lambda s: '/' || s) || [''], 'string_agg', '')
+  || CASE WHEN len(segs) = 0 OR ends_with(path, '/') THEN '/' ELSE '' END AS template FROM s{_LEVELS}),
+strata AS (SELECT template, stratum, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, (sum(good) + sum(bad))::BIGINT AS known FROM templates GROUP BY 1, 2),
+sums AS (SELECT template, sum(n)::BIGINT AS n, sum(known)::BIGINT AS labels, count(*) FILTER (WHERE known > 0) AS strata, sum(CASE WHEN known > 0 THEN bad / known::DOUBLE ELSE 0 END) AS shares,
+  sum(n * bad / (known + 2::DOUBLE)) AS own, sum(n * 2::DOUBLE / (known + 2::DOUBLE)) AS pulled FROM strata GROUP BY 1),
+score AS (SELECT template, labels, floor((own + (shares + 0.2::DOUBLE) / (strata + 2::DOUBLE) * pulled) / n * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS purity FROM sums)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN labels >= 5 AND purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, template, purity::DOUBLE AS purity
 FROM ruled r JOIN templates t ON r.host = t.host AND r.path = t.path JOIN score USING (template)
 """

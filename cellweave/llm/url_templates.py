@@ -1,20 +1,26 @@
 """URL filters: explicit rules first, then a path-template tree for each host.
 
-The tree: a path's segments each have a shape (number, hexadecimal, long mixed token, or text), which
-generalises variable segments in place. A text segment becomes a wildcard too where its node (host,
-depth, shapes of the segments before it) has many different values without a dominant one. Sibling
-branches with the same most frequent outcome (what follows them and how they are labelled) merge into
-one where they don't differ statistically from the largest of these (two-sample G test over outcomes). A template (host and generalised segments) is
-rejected if its smoothed share of bad labels is high enough. Labels come from the URLs that a rule
-decides, and optionally from a table.
+The tree: a node is a host and a generalised prefix. A path's segments each have a shape (number,
+hexadecimal, long mixed token, or text), which generalises variable segments in place. Level by level,
+a node's text branches are compared by what follows them: the next segment's shape, or the segment
+itself where several branches of the node have it. Branches with the same most frequent follower merge
+with the largest of these where a two-sample G test finds no difference; the branches of a merged branch
+are one node on the next level. Labels have no part in this.
+
+A template (host and generalised path) is made of strata, the branches that were merged into it. A
+stratum's share of bad rows is smoothed towards the template's mean over labelled strata, which is
+smoothed towards `prior`; the template's purity is their mean by rows. So a stratum without labels
+counts by its rows with the template's mean only, and one labelled branch can't reject its
+larger siblings. Labels come from the URLs that a rule decides, and optionally from a table.
 
 Scale: DataFrame functions only. Everything is counted per distinct (host, path) first; a node's
-statistics are partial sums, so a host with a third of all pages is no large group; no path is
-looked at twice and there's no loop over depths.
+statistics are partial sums, so a host with a third of all pages is no large group. One round of
+aggregates for each level, `levels` at most; the segments beyond keep their shapes and aren't merged.
 
 Defined cases: a null url or one without `://` has an empty host and path and fits no rule; it's
 allowed unless its (empty) template is labelled bad; repeated rows stay rows; ties of rules go to the
-longer host, then to block; empty tables give none; other columns aren't read.
+longer host, then to block; of equal branches the one later in order leads; empty tables give none;
+other columns aren't read.
 """
 from __future__ import annotations
 
@@ -23,7 +29,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import materialise, pick
+from cellweave.llm.shared import discard, materialise, pick, small
 
 MOST_RULES = 1000
 
@@ -57,57 +63,82 @@ def _shape(segment: Column) -> Column:
     return F.when(stem.rlike("^[0-9]+$"), F.concat(F.lit("{n}"), ext)).when(stem.rlike("^[0-9A-Fa-f-]{8,}$") & mixed, F.concat(F.lit("{h}"), ext)).when(mixed & (F.length(stem) >= 12), F.concat(F.lit("{t}"), ext)).otherwise(segment)
 
 
-def templates(paths: DataFrame, many: int = 20, share: float = 0.2, apart: float = 3.0) -> DataFrame:
-    """(host, path, template) of distinct paths(host, path, n, good, bad): rows and labels of each."""
-    segs = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    rows = paths.withColumn("segs", F.transform(segs, _shape)).withColumn("wild", F.transform("segs", lambda s: s.rlike(r"^\{[nht]\}")))
-    class_of = F.transform(F.arrays_zip("segs", "wild"), lambda x: F.when(x["wild"], x["segs"]).otherwise(F.lit("w")))
-    rows = rows.withColumn("classes", class_of)
-    each = rows.where(F.size("segs") > 0).select("host", "path", "n", "good", "bad", F.posexplode(F.arrays_zip("segs", "wild")).alias("i", "s"), "classes")
-    each = each.select("host", "path", "n", "good", "bad", "i", F.array_join(F.slice("classes", F.lit(1), F.col("i")), "/").alias("before"), F.coalesce(F.try_element_at("classes", F.col("i") + 2), F.lit("")).alias("after"), F.col("s.segs").alias("seg"), F.col("s.wild").alias("wild"))
-    node = ["host", "i", "before"]
-    cells = each.where(~F.col("wild")).groupBy(*node, "seg", "after").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    # counts of (what follows, label): good, bad and unlabelled are three outcomes
-    cells = cells.select(*node, "seg", "n", F.explode(F.array(*[F.struct(F.concat("after", F.lit(x)).alias("what"), c.alias("c")) for x, c in ((" good", F.col("good")), (" bad", F.col("bad")), (" none", F.col("n") - F.col("good") - F.col("bad")))])).alias("o")).where("o.c > 0").select(*node, "seg", F.col("o.what").alias("what"), F.col("o.c").alias("c"))
-    # what several of the steps below read is written once
+def _is_text(segment: Column) -> Column:
+    return (segment != "") & ~segment.rlike(r"^\{[nht]\}")
+
+
+def _merged(cells: DataFrame, apart: float) -> DataFrame:
+    """(host, prefix, seg, token) of the branches to merge, from counts c of cells(host, prefix, seg, after)."""
+    node = ["host", "prefix"]
+    shared = cells.where(_is_text(F.col("after"))).groupBy(*node, "after").agg(F.count("*").alias("n")).where("n > 1").select(*node, "after", F.lit(True).alias("shared"))
+    what = F.when(_is_text(F.col("after")) & F.col("shared").isNull(), "{w}").otherwise(F.col("after"))
+    cells = cells.join(shared, [*node, "after"], "left").groupBy(*node, "seg", what.alias("what")).agg(F.sum("c").alias("c"))
     cells = materialise(cells, "url-cells")
-    # a branch's lead is its most frequent outcome; branches of one lead may merge
-    branches = cells.groupBy(*node, "seg").agg(F.sum("c").alias("size"), F.max(F.struct("c", "what")).alias("m")).select(*node, "seg", "size", F.col("m.what").alias("lead"))
+    branches = cells.groupBy(*node, "seg").agg(F.sum("c").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("c", "what"))["what"].alias("lead"))
     branches = materialise(branches, "url-branches")
-    nodes = branches.groupBy(*node).agg(F.sum("size").alias("total"), F.count("*").alias("branches"), F.max("size").alias("top_size"))
-    varied = nodes.where((F.col("branches") >= many) & (F.col("top_size") <= share * F.col("total"))).select(*node)
     side = [*node, "lead"]
-    few = branches.groupBy(*side).agg(F.count("*").alias("branches"), F.max(F.struct("size", "seg")).alias("top")).where("branches > 1").join(varied, node, "left_anti")
-    few = few.select(*side, F.col("top.size").alias("top_size"), F.col("top.seg").alias("top_seg"))
-    few = materialise(few, "url-leads")
-    # G of each branch against the largest of its lead: 2 * sum over outcomes of a ln(a / e), for both samples
-    top = cells.join(few.select(*side, F.col("top_seg").alias("seg")), [*node, "seg"]).select(*side, "what", F.col("c").alias("t"))
-    branch = branches.join(few, side).where("seg <> top_seg")
-    own = branch.join(cells, [*node, "seg"]).select(*side, "seg", "size", "top_size", "what", "c", F.lit(0).cast("long").alias("t"))
-    theirs = branch.join(top, side).select(*side, "seg", "size", "top_size", "what", F.lit(0).cast("long").alias("c"), "t")
-    both = own.unionByName(theirs).groupBy(*side, "seg", "size", "top_size", "what").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-
-    def part(x: str, size: str) -> Column:
-        expected = (F.col("c") + F.col("t")) * F.col(size) / (F.col("size") + F.col("top_size"))
-        return F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / expected)).otherwise(0.0)
-
-    tested = both.groupBy(*side, "seg").agg((2 * F.sum(part("c", "size") + part("t", "top_size"))).alias("g"), (F.count("*") - 1).alias("df"))
-    like = tested.where(F.col("g") - F.col("df") <= apart * F.sqrt(F.greatest(F.lit(1.0), 2 * F.col("df"))))
-    merged = like.select(*side, "seg").unionByName(few.join(like.select(*side).distinct(), side, "left_semi").select(*side, F.col("top_seg").alias("seg")))
-    merged = merged.select(*node, "seg", F.concat(F.lit("{~"), F.col("lead"), F.lit("}")).alias("token"))
-    wildcard = varied.select(*node, F.lit("{*}").alias("any"))
-    named = each.join(merged, [*node, "seg"], "left").join(wildcard, node, "left")
-    named = named.select("host", "path", "i", F.when(F.col("wild"), F.col("seg")).otherwise(F.coalesce("any", "token", "seg")).alias("token"))
-    whole = named.groupBy("host", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]), "/").alias("tokens"))
-    end = F.when(F.col("path").endswith("/"), "/").otherwise("")
-    return paths.select("host", "path", "n", "good", "bad").join(whole, ["host", "path"], "left").select("host", "path", "n", "good", "bad", F.concat("host", F.lit("/"), F.coalesce("tokens", F.lit("")), F.when(F.col("tokens").isNotNull(), end).otherwise("")).alias("template"))
+    few = branches.groupBy(*side).agg(F.count("*").alias("branches"), F.max(F.struct("size", "seg", "kinds")).alias("top")).where("branches > 1")
+    few = materialise(few.select(*side, F.col("top.size").alias("top_size"), F.col("top.seg").alias("top_seg"), F.col("top.kinds").alias("top_kinds")), "url-leads")
+    # G of each branch against the largest of its lead: 2 * sum over outcomes of a ln(a / expected), for both;
+    # outcomes that only the largest has add up to one term
+    top = cells.join(small(few.select(*side, F.col("top_seg").alias("seg"))), [*node, "seg"]).select(*side, "what", F.col("c").alias("t"))
+    own = cells.join(branches.drop("kinds"), [*node, "seg"]).join(small(few), side).where("seg <> top_seg").join(small(materialise(top, "url-tops")), [*side, "what"], "left")
+    both = F.col("size") + F.col("top_size")
+    t = F.coalesce("t", F.lit(0))
+
+    def part(x: Column, size: str) -> Column:
+        return F.when(x > 0, x * F.ln(x / ((F.col("c") + t) * F.col(size) / both))).otherwise(0.0)
+
+    tested = own.groupBy(*side, "seg", "size", "top_size", "top_kinds").agg(F.sum(part(F.col("c"), "size") + part(t, "top_size")).alias("met"), F.sum(t).alias("seen"), F.count_if(F.col("t").isNull()).alias("more"))
+    g = 2 * (F.col("met") + (F.col("top_size") - F.col("seen")) * F.ln(both / F.col("top_size")))
+    df = F.col("more") + F.col("top_kinds") - 1
+    like = materialise(tested.where(g - df <= apart * F.sqrt(F.greatest(F.lit(1.0), 2 * df))).select(*side, "seg"), "url-like")
+    heads = few.join(small(like.select(*side).distinct()), side, "left_semi").select(*side, F.col("top_seg").alias("seg"))
+    out = materialise(like.unionByName(heads).select(*node, "seg", F.concat(F.lit("{~"), F.col("lead"), F.lit("}")).alias("token")), "url-merged")
+    discard(cells, branches, few, like)
+    return out
+
+
+def templates(paths: DataFrame, levels: int = 8, apart: float = 3.0) -> DataFrame:
+    """(host, path, template, stratum) of distinct paths(host, path, n), with all columns of paths."""
+    segs = F.transform(F.filter(F.split("path", "/", -1), lambda s: s != ""), _shape)
+    state = paths.select("*", segs.alias("segs"), F.lit("").alias("prefix"), F.lit("").alias("stratum"))
+    state = materialise(state, "url-tree")
+    deepest = state.agg(F.max(F.size("segs"))).first()[0] or 0
+    for d in range(min(levels, deepest)):
+        seg, after = F.get("segs", F.lit(d)), F.coalesce(F.get("segs", F.lit(d + 1)), F.lit(""))
+        cells = state.where(F.size("segs") > d).select("host", "prefix", seg.alias("seg"), after.alias("after"), "n").where(_is_text(F.col("seg")))
+        merged = _merged(cells.groupBy("host", "prefix", "seg", "after").agg(F.sum("n").alias("c")), apart)
+        named = state.withColumn("seg", seg).join(small(merged), ["host", "prefix", "seg"], "left")
+        prefix = F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.coalesce("token", "seg")))
+        stratum = F.when(F.col("token").isNull(), F.col("stratum")).otherwise(F.concat("stratum", F.lit("/"), "seg"))
+        last = state
+        state = materialise(named.select(*paths.columns, "segs", prefix.alias("prefix"), stratum.alias("stratum")), "url-tree")
+        discard(last, merged)
+    rest = F.transform(F.slice("segs", levels + 1, F.greatest(F.size("segs"), F.lit(1))), lambda s: F.concat(F.lit("/"), s))
+    end = F.when(F.size("segs") == 0, "/").when(F.col("path").endswith("/"), "/").otherwise("")
+    return state.select(*paths.columns, F.concat("host", "prefix", F.array_join(rest, ""), end).alias("template"), "stratum")
+
+
+def purities(named: DataFrame, smooth: float, prior: float) -> DataFrame:
+    """(template, labels, purity) from rows (template, stratum, n, good, bad)."""
+    strata = named.groupBy("template", "stratum").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    known = F.col("good") + F.col("bad")
+    sums = strata.groupBy("template").agg(
+        F.sum("n").alias("n"), F.sum(known).alias("labels"), F.count_if(known > 0).alias("strata"), F.sum(F.when(known > 0, F.col("bad") / known).otherwise(0.0)).alias("shares"),
+        F.sum(F.col("n") * F.col("bad") / (known + smooth)).alias("own"), F.sum(F.col("n") * smooth / (known + smooth)).alias("pulled"),
+    )
+    mean = (F.col("shares") + smooth * prior) / (F.col("strata") + smooth)
+    purity = (F.col("own") + mean * F.col("pulled")) / F.col("n")
+    # to six digits, as the order of the sums isn't fixed
+    return sums.select("template", "labels", (F.floor(purity * 1e6 + 0.5) / 1e6).alias("purity"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, purity: float = 0.8, least: int = 5, smooth: float = 2.0, prior: float = 0.1, id_col: str = "page_id", url_col: str = "url", **tree: float) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row of pages.
 
-    labelled: optional (page_id, bad boolean). purity: a template with `least` labels or more is
-    rejected at (bad + smooth * prior) / (labels + smooth) >= purity."""
+    labelled: optional (page_id, bad boolean); a rule comes first. A template with `least` labelled rows
+    or more is rejected at a purity of `purity` or more."""
     pages = pick(pages, id_col, url_col)
     host, path = host_and_path(pages[url_col].cast("string"))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
@@ -118,10 +149,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
         votes = pick(labelled, "page_id", "bad").where("bad IS NOT NULL").groupBy(F.col("page_id").cast("long").alias("page_id")).agg((F.avg(F.col("bad").cast("int")) > 0.5).alias("voted"))
         known = known.join(votes, "page_id", "left").withColumn("bad", F.coalesce("bad", "voted"))
     paths = known.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
-    named = materialise(templates(materialise(paths, "url-paths"), **tree), "url-templates")
-    score = named.groupBy("template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    score = score.select("template", ((F.col("bad") + smooth * prior) / (F.col("good") + F.col("bad") + smooth)).alias("purity"), (F.col("good") + F.col("bad")).alias("labels"))
-    judged = named.select("host", "path", "template").join(score, "template")
+    named = materialise(templates(paths, **tree), "url-templates")
+    score = materialise(purities(named, smooth, prior), "url-purities")
+    judged = named.select("host", "path", "template").join(small(score), "template")
     method = F.when((F.col("labels") >= least) & (F.col("purity") >= purity), "block").otherwise("allow")
     judged = judged.select("host", "path", "template", "purity", method.alias("method"))
     return rows.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", "method").alias("verdict"), "template", "purity")

@@ -96,28 +96,33 @@ def _field(name: str) -> Column:
 
 
 def _payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Stored payloads in their buckets; reading one whose bytes don't have the digest they are stored
-    under fails."""
+    """(digest, payload) as stored, in buckets."""
     buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
     name = f"cellweave_{uuid.uuid4().hex}"
     where = f"{path}/payloads".replace("'", "\\'")
     spark.sql(f"CREATE TABLE {name} (digest STRING, payload BINARY) USING parquet CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{where}'")
     held = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the plan of held has its files
+    return held
+
+
+def _verified(payloads: DataFrame, *more: str) -> DataFrame:
+    """Payloads; one whose bytes don't have the digest they are stored under makes the read fail."""
     wrong = F.raise_error(F.concat(F.lit("stored payload does not match digest "), F.col("digest")))
-    return held.select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(wrong).alias("payload"))
+    return payloads.select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(wrong).alias("payload"), *more)
 
 
 def read_records(spark: SparkSession, path: str, split: int = 2000) -> DataFrame:
     """(row, header, payload, record): each record rebuilt exactly, a revisit's payload through its digest."""
     headers, payloads = spark.read.parquet(f"{path}/headers"), _payloads(spark, path)
-    joined = headers.where(f"n <= {split}").join(payloads, "digest").select("row", "header", "payload")
+    joined = headers.where(f"n <= {split}").join(_verified(payloads), "digest").select("row", "header", "payload")
     hot = headers.where(f"n > {split}").groupBy("digest").agg(F.ceil(F.count("*") / split).cast("int").alias("copies"))
-    hot = small(materialise(hot, "hot-payloads"))
-    # the copies of a hot payload, each with a salt, and its headers dealt out over the salts
-    copies = payloads.join(hot, "digest").select("digest", "payload", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-    dealt = headers.where(f"n > {split}").withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / split)).cast("int"))
-    joined = joined.unionByName(dealt.join(copies, ["digest", "salt"]).select("row", "header", "payload"))
+    hot = materialise(hot, "hot-payloads")
+    if not hot.isEmpty():
+        # the copies of a hot payload, each with a salt, and its headers dealt out over the salts
+        copies = _verified(payloads.join(small(hot), "digest"), "copies").select("digest", "payload", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+        dealt = headers.where(f"n > {split}").withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / split)).cast("int"))
+        joined = joined.unionByName(dealt.join(copies, ["digest", "salt"]).select("row", "header", "payload"))
     own = F.when(_field("WARC-Type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
     return joined.select("row", "header", "payload", F.concat("header", own, F.encode(F.lit(CRLF + CRLF), "UTF-8")).alias("record"))
 

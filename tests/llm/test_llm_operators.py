@@ -379,6 +379,75 @@ def test_url_rules_against_brute_force(spark):
     assert url_templates.judge(pages.limit(0), RULES).count() == 0
 
 
+def brute_shape(s):
+    m = re.search(r"\.[A-Za-z]{1,5}$", s)
+    ext, stem = (m.group(), s[: m.start()]) if m else ("", s)
+    mixed = re.search("[0-9]", stem) and re.search("[A-Za-z]", stem)
+    if re.fullmatch("[0-9]+", stem):
+        return "{n}" + ext
+    if mixed and re.fullmatch("[0-9A-Fa-f-]{8,}", stem):
+        return "{h}" + ext
+    return "{t}" + ext if mixed and len(stem) >= 12 else s
+
+
+def brute_tree(urls, bad, levels=8, apart=3.0, smooth=2.0, prior=0.1):
+    """{url: (template, purity)} by walking one node after the other; bad: {url: boolean} of labelled rows."""
+    text = lambda s: s != "" and not re.match(r"\{[nht]\}", s)
+    rows = []
+    for u in urls:
+        host, path, _ = brute_url(u)
+        rows.append((host, path, [brute_shape(s) for s in path.split("/") if s]))
+    prefix, strata = [""] * len(rows), [""] * len(rows)
+    for d in range(levels):
+        nodes = {}
+        for k, (host, _, segs) in enumerate(rows):
+            if len(segs) > d:
+                nodes.setdefault((host, prefix[k]), []).append(k)
+        for members in nodes.values():
+            after = lambda k: rows[k][2][d + 1] if len(rows[k][2]) > d + 1 else ""  # noqa: B023, E731
+            words = [k for k in members if text(rows[k][2][d])]
+            of = {}
+            for k in words:
+                of.setdefault(after(k), set()).add(rows[k][2][d])
+            cells = {}
+            for k in words:
+                what = "{w}" if text(after(k)) and len(of[after(k)]) == 1 else after(k)
+                c = cells.setdefault(rows[k][2][d], {})
+                c[what] = c.get(what, 0) + 1
+            leads = {}
+            for seg, c in cells.items():
+                leads.setdefault(max((n, w) for w, n in c.items())[1], []).append(seg)
+            token = {}
+            for lead, segs in leads.items():
+                top = max(segs, key=lambda s: (sum(cells[s].values()), s))
+                alike = []
+                for seg in segs:
+                    a, b = cells[seg], cells[top]
+                    size, all_kinds = (sum(a.values()), sum(b.values())), set(a) | set(b)
+                    g = 2 * sum(x.get(w, 0) * np.log(x.get(w, 0) / ((a.get(w, 0) + b.get(w, 0)) * n / sum(size))) for x, n in ((a, size[0]), (b, size[1])) for w in all_kinds if x.get(w, 0))
+                    df = len(all_kinds) - 1
+                    if seg != top and g - df <= apart * np.sqrt(max(1.0, 2 * df)):
+                        alike.append(seg)
+                for seg in [*alike, top] if alike else []:
+                    token[seg] = "{~" + lead + "}"
+            for k in members:
+                seg = rows[k][2][d]
+                prefix[k] += "/" + token.get(seg, seg)
+                strata[k] += "/" + seg if seg in token else ""
+    templates = [h + p + "".join("/" + s for s in segs[levels:]) + ("/" if not segs or path.endswith("/") else "") for (h, path, segs), p in zip(rows, prefix, strict=True)]
+    out = {}
+    for name in set(templates):
+        groups = {}
+        for k, t in enumerate(templates):
+            if t == name:
+                groups.setdefault(strata[k], []).append(bad.get(urls[k]))
+        shares = [np.mean([v for v in g if v is not None]) for g in groups.values() if any(v is not None for v in g)]
+        mean = (sum(shares) + smooth * prior) / (len(shares) + smooth)
+        rates = [(len(g), (sum(v is True for v in g) + smooth * mean) / (sum(v is not None for v in g) + smooth)) for g in groups.values()]
+        out[name] = sum(n * r for n, r in rates) / sum(n for n, _ in rates)
+    return {u: (t, out[t]) for u, t in zip(urls, templates, strict=True)}
+
+
 def test_templates_generalise_merge_and_reject(spark):
     rows = [(i, f"http://h.org/{lang}/{1000 + i}") for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
     rows += [(1000 + i, f"http://h.org/spam/item/{i}") for i in range(30)]
@@ -386,12 +455,47 @@ def test_templates_generalise_merge_and_reject(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string")
     bad = spark.createDataFrame([(1000 + i, True) for i in range(20)] + [(i, False) for i in range(20)], "page_id bigint, bad boolean")
     got = {r["page_id"]: r for r in url_templates.judge(pages, [], bad).collect()}
-    assert len({got[i]["template"] for i in range(60, 120)}) == 1  # unlabelled aa, bb, cc look alike
+    assert len({got[i]["template"] for i in range(120)}) == 1  # aa, bb, cc look alike, labelled or not
     assert {got[1000 + i]["verdict"] for i in range(30)} == {"block"}
     assert {got[i]["verdict"] for i in range(120)} == {"allow"}
     assert len({got[2000 + i]["template"] for i in range(60)}) == 1
 
 
+@pytest.mark.parametrize("levels", [8, 2])
+def test_tree_against_brute_force(spark, levels):
+    rng = random.Random(21)
+    heads, tails = ["en", "de", "fr", "es", "blog", "user", "a1b2c3d4e5f6", "img.png"], ["photos", "settings", "about", "12", "99", "0af3-77b2", "x1.html", ""]
+    urls = sorted({f"http://{rng.choice(['h.net', 'b.example.com', 'c.example.org', 'org'])}/" + "/".join(rng.choice([*heads, "".join(rng.choices("abcdef", k=3))] if k == 0 else [*tails, *heads[:3], str(rng.randint(1, 50))]) for k in range(rng.randint(0, 5))) for _ in range(1500)})
+    urls += [f"http://dir.org/{''.join(c)}/{n}" for n, c in enumerate([rng.choices("abcdefg", k=4) for _ in range(100)]) for _ in range(2)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    voted = {i: rng.random() < 0.9 for i in range(0, len(urls), 3)}
+    got = {r["page_id"]: r for r in url_templates.judge(pages, RULES, spark.createDataFrame(list(voted.items()), "page_id bigint, bad boolean"), levels=levels).collect()}
+    # a url that comes twice has one template, its rows are counted each
+    keyed = [f"{u}#{i}" for i, u in enumerate(urls)]
+    bad = {}
+    for i, u in enumerate(urls):
+        rule = brute_url(u)[2]
+        if rule or i in voted:
+            bad[keyed[i]] = rule[1] == "block" if rule else voted[i]
+    want = brute_tree(keyed, bad, levels)
+    assert len(got) == len(urls)
+    for i, u in enumerate(keyed):
+        assert got[i]["template"] == want[u][0] and abs(got[i]["purity"] - want[u][1]) < 1e-6
+        labels = sum(want[v][0] == want[u][0] for v in bad)
+        rule = brute_url(u)[2]
+        assert got[i]["verdict"] == (rule[1] if rule else "block" if labels >= 5 and got[i]["purity"] >= 0.8 else "allow")
+    assert any(got[i]["verdict"] == "block" and got[i]["rule"] is None and i not in voted for i in got)
+
+
+def test_one_labelled_branch_does_not_reject_its_larger_siblings(spark):
+    """Whatever the number of siblings: the rule's branch is a small part of what looks alike."""
+    for siblings in (4, 19, 20, 60):
+        urls = [f"http://b.example.com/{lang}/{i}" for lang in ["de", *(f"s{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(siblings))] for i in range(10)]
+        got = url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), RULES)
+        kinds = {(r["rule"], r["verdict"], r["template"]) for r in got.collect()}
+        assert kinds == {("example.com/de/", "block", "b.example.com/{~{n}}/{n}"), (None, "allow", "b.example.com/{~{n}}/{n}")}
+
+
 # ------------------------------------------------------------------ classifiers
 
 
