@@ -537,6 +537,52 @@ def test_quality_learns_and_handles_odd_rows(spark):
     assert crf_quality.score(table.limit(0), model).count() == 0
 
 
+def test_quality_gradient_against_differences():
+    rng = np.random.default_rng(4)
+    sizes = [1, 4, 2, 7, 3]
+    held = [(rng.normal(size=(n, 5)), rng.uniform(1, 30, n)) for n in sizes]
+    objective = crf_quality.Objective(held, np.array([0, 1, 1, 0, 1]), rng.uniform(0.5, 2, 5), 0.01)
+    theta = rng.normal(size=5 + 1 + 4) * 0.7
+    _, got = objective(theta, 1e-4)
+    for i in range(len(theta)):
+        e = np.eye(len(theta))[i] * 1e-5
+        assert abs((objective(theta + e)[0] - objective(theta - e)[0]) / 2e-5 - got[i]) < 1e-5
+
+
+def test_quality_labels_lines_of_mixed_documents(spark):
+    rng = random.Random(13)
+    good = lambda: " ".join(f"w{rng.randint(0, 300)}" for _ in range(12)) + "."
+    texts, kinds = [], []
+    for i in range(240):
+        n = rng.randint(4, 12)
+        bad = rng.randint(0, n // 4) if i % 2 else rng.randint(n - n // 4, n)
+        kinds.append([0] * bad + [1] * (n - bad))
+        texts.append("\n".join(good() if k else "buy now $$$ " * 4 for k in kinds[-1]))
+    table = docs(spark, *texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    model = crf_quality.train(table, labels)
+    lines = {(r["doc_id"], r["line"]): r["label"] for r in crf_quality.label_lines(table, model).collect()}
+    assert len(lines) == sum(map(len, kinds))
+    right = [lines[d, n] == ("good" if k else "bad") for d, ks in enumerate(kinds) for n, k in enumerate(ks)]
+    assert np.mean(right) > 0.9
+    assert model.trans[0, 0] + model.trans[1, 1] > model.trans[0, 1] + model.trans[1, 0]  # kinds come in runs
+    out = crf_quality.score(table, model).where("doc_id >= 200").collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in out)
+    assert all(r["lines"] == len(kinds[r["doc_id"]]) and r["bad_lines"] == sum(lines[r["doc_id"], n] == "bad" for n in range(r["lines"])) for r in out)
+
+
+def test_quality_ties_repeated_rows_and_long_texts(spark):
+    assert crf_quality._runs(300, 300, 50) == [(0, 300)]
+    runs = crf_quality._runs(100_001, 300, 50)
+    assert len(runs) == 6 and runs[0][0] == 0 and runs[-1][1] == 100_001 and all(b - a == 50 for a, b in runs)
+    texts = ["fine words here. " * 5 if i % 2 else "$$ !! ## " * 9 for i in range(60)]
+    table = docs(spark, *texts, "fine line\n" * 5000)
+    rows = [(i, i % 2) for i in range(60)]
+    labels = spark.createDataFrame([*rows, (60, 1), (0, 1), (2, 1)], "doc_id bigint, quality int")  # 0 and 2: a tie is good
+    one, two = (crf_quality.score(table, crf_quality.train(t, labels)).orderBy("doc_id").collect() for t in (table, table.repartition(7).union(table.limit(9))))
+    assert [r["score"] for r in one] == [r["score"] for r in two] and one[60]["lines"] == 5001
+
+
 def test_crf_marginals_against_enumeration():
     import itertools
 
