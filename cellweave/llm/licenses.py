@@ -41,12 +41,20 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
     ),
+    "Artistic-2.0": (
+        "licensed under the artistic license 2.0",
+        "this package is distributed under the terms of the artistic license 2.0",
+    ),
     "BSD": (
         "licensed under the bsd license",
         "released under the bsd 3 clause license",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     ),
+    "BSL-1.0": (
+        "distributed under the boost software license version 1.0",
+        "licensed under the boost software license 1.0",
+    ),
     "CC-BY": (
         "licensed under cc by 4.0",
         "this work is licensed under a creative commons attribution 4.0 international license",
@@ -63,7 +71,20 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "licensed under cc0 1.0",
         "to the extent possible under law the author has waived all copyright and related rights to this work cc0 1.0 universal public domain dedication",
     ),
+    "EPL": (
+        "licensed under the eclipse public license 2.0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0",
+        "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1.0",
+    ),
+    "EUPL": (
+        "licensed under the eupl",
+        "licensed under the european union public licence version 1.2",
+        "licensed under the eupl version 1.2 or as soon they will be approved by the european commission subsequent versions of the eupl",
+    ),
     "GPL": (
+        "licensed under the gnu gpl v3",
+        "licensed under the gpl version 2",
+        "this program is distributed under the terms of the gnu gpl",
         "this work is licensed under the gnu general public license version 3",
         "licensed under the gnu general public license version 2",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
@@ -87,19 +108,34 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file",
     ),
     "Unlicense": ("this is free and unencumbered software released into the public domain",),
+    "WTFPL": (
+        "licensed under the wtfpl",
+        "do what the fuck you want to public license version 2",
+    ),
+    "Zlib": (
+        "licensed under the zlib license",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    ),
 }
+#: Identifiers of these families in machine-readable tags.
+SPDX: dict[str, str] = {
+    "AGPL": "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later", "Apache-2.0": "Apache-2.0", "Artistic-2.0": "Artistic-2.0", "BSD": "BSD-2-Clause BSD-3-Clause", "BSL-1.0": "BSL-1.0",
+    "CC-BY": "CC-BY-4.0 CC-BY-3.0", "CC-BY-NC": "CC-BY-NC-4.0", "CC-BY-SA": "CC-BY-SA-4.0 CC-BY-SA-3.0", "CC0": "CC0-1.0", "EPL": "EPL-1.0 EPL-2.0", "EUPL": "EUPL-1.2", "GPL": "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later",
+    "ISC": "ISC", "LGPL": "LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later", "MIT": "MIT", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense", "WTFPL": "WTFPL", "Zlib": "Zlib",
+}
+_WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+for _family, _ids in SPDX.items():
+    TEMPLATES[_family] += tuple(" ".join(_WORD.findall(f"spdx license identifier {i}".lower())) for i in _ids.split())
 #: The word pairs of each template, and of all.
 TEMPLATE_PAIRS = [set(zip(t.split(), t.split()[1:], strict=False)) for ts in TEMPLATES.values() for t in ts]
 PAIRS = set().union(*TEMPLATE_PAIRS)
-#: Every template holds one of these; training takes plain lines without any.
+#: What notices tend to hold; training looks for such lines as hard examples.
 ANCHORS = ("licens", "licenc", "copyright", "warrant", "redistribut", "public domain", "hereby granted")
 #: Words for made-up sentences of the unknown class.
 ORDINARY = "the of and to in a is that it for was on as with be by at this had not are but from or have an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because long each just state people those too mr how little good world make very year still see own work men day get here between both life being under three never know same last another while us might great go come since against right came take used himself few house use place during high without again home around small however found mrs part school thought went say general once upon".split()
 LEGAL = "license licensed licence terms conditions agreement rights reserved copyright granted permission software work distributed version public notice holder party driver fishing marriage plate fee software warranty general free use copy source".split()
 
-_WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-
-
 def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
@@ -110,9 +146,11 @@ def grams(words: list[str]) -> set[str]:
 
 def pairs_shared(words: list[str], template: list[str]) -> float:
     """Word pairs that both have, as a share of the shorter one's (a paragraph counts as 8 at least, so
-    a few shared words of a long template prove nothing)."""
+    a few shared words of a long template prove nothing; of up to three pairs all are needed)."""
     have = set(zip(words, words[1:], strict=False))
     want = set(zip(template, template[1:], strict=False))
+    if len(want) <= 3 and not want <= have:
+        return 0.0
     return len(have & want) / max(1, min(len(want), max(8, len(have))))
 
 
@@ -223,15 +261,29 @@ def _examples(rng: np.random.Generator, per_template: int) -> Iterator[tuple[str
         yield "unknown", [str(rng.choice(LEGAL)) if rng.random() < share else noise(1)[0] for _ in range(int(rng.integers(3, 30)))]
 
 
-def train(docs: DataFrame | None = None, per_template: int = 60, corpus_lines: int = 2000, window: int = 48, seed: int = 5, alpha: float = 0.3, l1: float = 0.02, l2: float = 1e-3, epochs: int = 4, text_col: str = "text") -> LicenseModel:
-    """Fit on made examples and at most corpus_lines lines of docs (those without any anchor)."""
+def _corpus_lines(texts: DataFrame, most: int, window: int) -> list[list[str]]:
+    """Words of up to `most` different lines, one of a text at a place that its hash gives, and of as many
+    that hold an anchor; chosen by their hashes over all texts, without those near a template."""
+    lines = F.split("text", "\n")
+    hard = F.filter(lines, lambda x: F.lower(x).rlike("|".join(ANCHORS)))
+    every = max(1, texts.count() // (4 * most))
+    out = []
+    for name, of in (("any", lines), ("hard", hard)):
+        chosen = F.try_element_at(of, (F.pmod(F.xxhash64("text", F.lit(name)), F.greatest(F.size(of), F.lit(1)).cast("long")) + 1).cast("int"))
+        line = texts.where("text IS NOT NULL").select(chosen.alias("line")).where((F.length("line") > 0) & (F.pmod(F.xxhash64("line"), F.lit(every)) == 0 if name == "any" else F.col("line").isNotNull()))
+        for r in line.select(F.substring("line", 1, 4000).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(most).collect():
+            words = [w for w, _, _ in words_of(r["line"])][:window]
+            if max(pairs_shared(words, t.split()) for ts in TEMPLATES.values() for t in ts) < 0.3:
+                out.append(words)
+    return out
+
+
+def train(docs: DataFrame | None = None, per_template: int = 30, corpus_lines: int = 2000, window: int = 48, seed: int = 5, alpha: float = 0.3, l1: float = 0.02, l2: float = 1e-3, epochs: int = 4, text_col: str = "text") -> LicenseModel:
+    """Fit on made examples and at most 2 * corpus_lines lines of docs that aren't like any template."""
     rng = np.random.default_rng(seed)
     data = list(_examples(rng, per_template))
     if docs is not None:
-        ensure_workers_import(docs.sparkSession)
-        line = F.element_at(F.split(F.col(text_col).cast("string"), "\n"), 1)
-        plain = pick(docs, text_col).select(line.alias("line")).where(~F.lower("line").rlike("|".join(ANCHORS)) & F.length("line").between(1, 4000)).limit(corpus_lines)
-        data += [("unknown", [w for w, _, _ in words_of(r["line"])][:window]) for r in plain.collect()]
+        data += [("unknown", w) for w in _corpus_lines(pick(docs, text_col).select(F.col(text_col).cast("string").alias("text")), corpus_lines, window)]
     families = [*sorted(TEMPLATES), "unknown"]
     vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(grams(t.split()) for ts in TEMPLATES.values() for t in ts), LEGAL)))}
     k, n = len(families), len(vocabulary)

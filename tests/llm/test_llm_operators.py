@@ -621,6 +621,29 @@ def test_licenses_confirm_and_reject(spark):
     assert licenses.scan(docs(spark, "a").limit(0), model).count() == 0
 
 
+def test_license_tags_and_further_families(spark):
+    model = licenses.train(docs(spark, *(f"ordinary line {i}\nlicense fee {i} applies" for i in range(50)), None))
+    want = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL", "SPDX-License-Identifier: CC-BY-NC-4.0": "CC-BY-NC",
+        "Licensed under the GNU GPL v3": "GPL", "Licensed under the Eclipse Public License 2.0": "EPL", "Licensed under the EUPL": "EUPL", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "SPDX-License-Identifier: Nonsense-9": None, "the license identifier of the driver": None, "under the license fee": None, "do what you want": None,
+    }
+    got = {r["doc_id"]: r["family"] for r in licenses.scan(docs(spark, *want), model).collect()}
+    assert [got.get(i) for i in range(len(want))] == list(want.values())
+
+
+def test_every_template_is_found_as_its_family_and_repeated_rows_report_each(spark):
+    model = licenses.train(None)
+    rows = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    texts = [t for _, t in rows] + [rows[0][1]]
+    got = {}
+    for r in licenses.scan(docs(spark, *texts), model).collect():
+        got.setdefault(r["doc_id"], set()).add(r["family"])
+    wrong = [(f, t, got.get(i)) for i, (f, t) in enumerate(rows) if f not in got.get(i, ())]
+    assert len(wrong) <= 2, wrong
+    assert got[len(texts) - 1] == got[0]
+
+
 def test_licenses_wrapped_over_lines(spark):
     model = licenses.train(docs(spark, "plain words here", None, ""))
     texts = [
