@@ -9,8 +9,8 @@ corpus's own lines. A temperature, fitted on held-back examples, calibrates the
 the unknown class among them. A prediction stands if the best template of its family shares enough
 word pairs with the paragraph.
 
-Scale: a map over whole texts. A window with fewer word pairs of templates than any confirmation needs
-is passed over.
+Scale: a map over whole texts. A paragraph is passed over where no template could confirm a window of it,
+and only windows that a template confirms are classified.
 
 Defined cases: null and empty texts have no findings; repeated rows report each; equal scores take the
 first family in order; adjacent windows of a line report the family once, with the span of all;
@@ -18,8 +18,8 @@ empty tables give none.
 """
 from __future__ import annotations
 
-import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,9 +127,13 @@ SPDX: dict[str, str] = {
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 for _family, _ids in SPDX.items():
     TEMPLATES[_family] += tuple(" ".join(_WORD.findall(f"spdx license identifier {i}".lower())) for i in _ids.split())
-#: The word pairs of each template, and of all.
+#: The word pairs of each template, the templates of each pair, and the family of each template.
+FAMILY_OF = [f for f, ts in TEMPLATES.items() for _ in ts]
 TEMPLATE_PAIRS = [set(zip(t.split(), t.split()[1:], strict=False)) for ts in TEMPLATES.values() for t in ts]
-PAIRS = set().union(*TEMPLATE_PAIRS)
+TEMPLATES_OF: dict[tuple[str, str], list[int]] = {}
+for _t, _pairs in enumerate(TEMPLATE_PAIRS):
+    for _pair in sorted(_pairs):
+        TEMPLATES_OF.setdefault(_pair, []).append(_t)
 #: What notices tend to hold; training looks for such lines as hard examples.
 ANCHORS = ("licens", "licenc", "copyright", "warrant", "redistribut", "public domain", "hereby granted")
 #: Words for made-up sentences of the unknown class.
@@ -190,49 +194,54 @@ class LicenseModel:
     def _paragraph(self, lines: list[tuple[int, int, str]], text: str, least: float, shared: float) -> list:
         """The findings of each line, then those of windows over the whole paragraph, cut to the pairs they
         share with their template: they widen a finding of their family that they overlap, or are new."""
-        out = [f for n, at, line in lines for f in self._line(n, line, at, least, shared)]
-        if len(lines) > 1:
-            first, last = lines[0], lines[-1]
-            for _, family, p, same, start, end in self._line(first[0], text[first[1] : last[1] + len(last[2])], first[1], least, shared, cut=True):
-                for f in [f for f in out if f[1] == family and f[4] < end and start < f[5]]:
-                    out.remove(f)
-                    p, same, start, end = max(p, f[2]), max(same, f[3]), min(start, f[4]), max(end, f[5])
-                out.append((max(n for n, at, _ in lines if at <= start), family, p, same, start, end))
+        first, last = lines[0], lines[-1]
+        whole = text[first[1] : last[1] + len(last[2])]
+        if not _confirmable(_WORD.findall(whole.lower()), shared, 8):
+            return []
+        words = [(w, s + first[1], e + first[1]) for w, s, e in words_of(whole)]
+        if len(lines) == 1:
+            return self._windows(first[0], words, least, shared)
+        starts, out = [s for _, s, _ in words], []
+        for n, at, line in lines:
+            out += self._windows(n, words[bisect_left(starts, at) : bisect_left(starts, at + len(line))], least, shared)
+        for _, family, p, same, start, end in self._windows(first[0], words, least, shared, cut=True):
+            for f in [f for f in out if f[1] == family and f[4] < end and start < f[5]]:
+                out.remove(f)
+                p, same, start, end = max(p, f[2]), max(same, f[3]), min(start, f[4]), max(end, f[5])
+            out.append((max(n for n, at, _ in lines if at <= start), family, p, same, start, end))
         return sorted(out)
 
-    def _line(self, n: int, line: str, at: int, least: float, shared: float, cut: bool = False) -> list:
-        """Findings by family; with cut, one for each window, cut to the pairs that the template has."""
-        words, each = words_of(line), []
-        # windows with fewer template pairs than the least that confirms are passed over
-        pairs = [p in PAIRS for p in zip((w for w, _, _ in words), (w for w, _, _ in words[1:]), strict=False)]
-        need = max(1, min(math.ceil(shared * min(8, len(t)) - 1e-9) for t in TEMPLATE_PAIRS))
-        if sum(pairs) < need:
+    def _windows(self, n: int, words: list[tuple[str, int, int]], least: float, shared: float, cut: bool = False) -> list:
+        """Findings by family; with cut, one for each window, cut to the pairs that the template has. Only
+        windows that some template confirms are classified."""
+        plain = [w for w, _, _ in words]
+        if not _confirmable(plain, shared, 8):
             return []
         found: dict[str, tuple] = {}
+        each = []
         # whole lines first; long ones in windows of two widths, so a notice fills a fair share of one
         spans = {(0, len(words))} if len(words) <= self.window else set()
         for width in (self.window // 4, self.window):
             if len(words) > width:
                 spans |= {(i, min(len(words), i + width)) for i in range(0, len(words) - width // 2, width // 2)}
         for lo, hi in sorted(spans):
-            part = [w for w, _, _ in words[lo:hi]]
-            if sum(pairs[lo : hi - 1]) < need:
+            part = plain[lo:hi]
+            families = _confirmable(part, shared)
+            if not families:
                 continue
             p = self.probabilities(part)
             best = int(p.argmax())
-            if best == len(self.families) - 1 or p[best] < least:
+            if best == len(self.families) - 1 or p[best] < least or self.families[best] not in families:
                 continue
             family = self.families[best]
             same, template = max((pairs_shared(part, t.split()), t) for t in TEMPLATES[family])
-            if same < shared:
-                continue
             if cut:
                 want = set(zip(template.split(), template.split()[1:], strict=False))
                 hits = [i for i in range(lo, hi - 1) if (words[i][0], words[i + 1][0]) in want]
-                each.append((n, family, float(p[best]), same, at + words[hits[0]][1], at + words[hits[-1] + 1][2]))
+                each.append((n, family, float(p[best]), same, words[hits[0]][1], words[hits[-1] + 1][2]))
                 continue
             old = found.get(family)
-            span = (at + words[lo][1], at + words[hi - 1][2])
+            span = (words[lo][1], words[hi - 1][2])
             if old is None:
                 found[family] = (n, family, float(p[best]), same, *span)
             else:
@@ -240,6 +249,23 @@ class LicenseModel:
         return each if cut else [found[f] for f in sorted(found)]
 
 
+def _confirmable(words: list[str], shared: float, size: int | None = None) -> set[str]:
+    """Families with a template that shares enough word pairs with the words; with size, that might do so
+    with some window of them, of at least that many pairs."""
+    pairs = set(zip(words, words[1:], strict=False))
+    count: dict[int, int] = {}
+    for pair in pairs & TEMPLATES_OF.keys():
+        for t in TEMPLATES_OF[pair]:
+            count[t] = count.get(t, 0) + 1
+    size = max(8, len(pairs)) if size is None else size
+    out = set()
+    for t, c in count.items():
+        n = len(TEMPLATE_PAIRS[t])
+        if c + 1e-9 >= (n if n <= 3 else shared * min(n, size)):
+            out.add(FAMILY_OF[t])
+    return out
+
+
 def _examples(rng: np.random.Generator, per_template: int) -> Iterator[tuple[str, list[str]]]:
     def noise(n: int) -> list[str]:
         return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) if rng.random() < 0.5 else str(rng.choice(ORDINARY)) for _ in range(n)]
