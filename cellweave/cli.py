@@ -66,9 +66,9 @@ def _named(spark: SparkSession, parsed: DataFrame, label: str, order: str, path:
 
 
 def generate(spark: SparkSession, a: argparse.Namespace) -> None:
-    parsed = text.parse_samples(text.ordered_lines(spark, a.input)).withColumn("at", F.col("pos"))
+    parsed = text.parse_samples(text.ordered_lines(spark, a.input), appearance=True)
     features = _named(spark, parsed, "feature", "at", a.features, a.merge)
-    samples = _named(spark, parsed, "sample", "at", a.samples, a.merge)
+    samples = _named(spark, parsed, "sample", "first", a.samples, a.merge)
     cells = text.index_cells(parsed, samples, features)
     dataset.save(dataset.sparse(spark, a.name, cells, features.count(), boolean=a.type == "indicator"), a.output)
 
@@ -89,8 +89,8 @@ def train(spark: SparkSession, a: argparse.Namespace) -> list[float]:
 
 def predict(spark: SparkSession, a: argparse.Namespace) -> None:
     features, labels = text.load_index(spark, a.features), text.load_index(spark, a.labels)
-    parsed = text.parse_samples(text.ordered_lines(spark, a.input)).withColumn("at", F.col("pos"))
-    samples = text.build_index(parsed.select(F.col("sample").alias("label"), "at"), "at")
+    parsed = text.parse_samples(text.ordered_lines(spark, a.input), appearance=True)
+    samples = text.build_index(parsed.select(F.col("sample").alias("label"), "first"), "first")
     cells = text.index_cells(parsed, samples, features)
     cells = cells if a.analog else cells.withColumn("value", F.lit(1.0))
     pad = lambda n: -(-n // 128) * 128

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def kept(df: DataFrame, name: str = "table") -> DataFrame:
+def kept(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """df written to spark.checkpoint.dir (a temporary folder only where that isn't set) and read again:
-    its rows are fixed from then on and survive lost executors."""
+    its rows are fixed from then on and survive lost executors. by: a column to store it by."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     path = f"{where.rstrip('/') if where else tempfile.mkdtemp(prefix='cellweave-')}/cellweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)

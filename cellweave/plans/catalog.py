@@ -339,6 +339,19 @@ def regularization(spark, d):
     return losses.regularization(edges(spark, d), 0.01, 0.001).select(*r6("loss", digits=5))
 
 
+#: Stored targets that hold any value, spread over the grid by the oracle.
+_ANALOG = "(SELECT sample, unit, a, w, CASE WHEN t = 1 THEN 0.25::DOUBLE + (sample % 7) / 4::DOUBLE ELSE 0 END AS t FROM grid)"
+
+
+def analog_targets(spark, d):
+    return class_grid(spark, d).where("t = 1").select("sample", "unit", (F.lit(0.25) + F.pmod("sample", F.lit(7)) / F.lit(4.0)).alias("t"))
+
+
+for _name in ("l1", "l2", "l2hinge", "hinge", "multinomialcrossentropy", "multinomialscaledmarginalcrossentropy", "datascaledmarginalcrossentropy"):
+    query(with_("grid") + f"SELECT round({fixed(_LOSS[_name])}, 5) AS loss FROM {_ANALOG}", f"sparse_loss_analog_{_name}")(lambda spark, d, n=_name: losses.sparse_loss(n, class_grid(spark, d).drop("t"), analog_targets(spark, d), boolean=False, margin=_M).select(*r6("loss", digits=5)))
+    query(with_("grid") + f"SELECT round({fixed(_LOSS[_name])}, 5) AS loss FROM {_ANALOG} WHERE t <> 0", f"sparse_loss_analog_ignore_zero_{_name}")(lambda spark, d, n=_name: losses.sparse_loss(n, class_grid(spark, d).drop("t"), analog_targets(spark, d), ignore_zero=True, boolean=False, margin=_M).select(*r6("loss", digits=5)))
+
+
 # ------------------------------------------------------------------ deltas
 
 _DER = {"sigmoid": "a * (1 - a)", "tanh": "(1 - a * a)", "relu": "CASE WHEN a > 0 THEN 1 ELSE 0 END", "lrelu": "CASE WHEN a > 0 THEN 1 ELSE 0.1::DOUBLE END", "elu": "CASE WHEN a > 0 THEN 1 ELSE a + 0.8::DOUBLE END", "selu": "CASE WHEN a > 0 THEN 1.050701::DOUBLE ELSE {selu} END", "linear": "1", "softmax": "1"}
@@ -556,7 +569,7 @@ def mrr(spark, d):
 
 _V = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0)"
 _N = ", e2 AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e)"
-_KNN = "SELECT query, rank::INT AS rank, key, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM (SELECT q.vec_id AS query, e.vec_id AS key, round(list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2])), 6) AS score FROM {q} q, {e} e)) WHERE rank <= 10"
+_KNN = "SELECT query, rank::INT AS rank, key, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM (SELECT q.vec_id AS query, e.vec_id AS key, round(list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2])), 12) AS score FROM {q} q, {e} e)) WHERE rank <= 10"
 
 
 def _vectors(spark, d):

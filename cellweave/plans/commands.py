@@ -25,26 +25,38 @@ def _network(spark: SparkSession, c: Command, inputs: dataset.Dataset, targets:
     return Network(spark, spec, {}, c.seed)
 
 
-def validate(net: Network, inputs: DataFrame, targets: DataFrame, places: int = 3, step: float = 0.001, within: float = 20.0) -> list[tuple[str, int, int, float]]:
-    """The gradients' largest errors against one-sided differences: those of `places` weights of each edge
-    that differ by more than `within` steps (none: the gradients are right)."""
-    edges, _, base = net.gradients(inputs, targets)
-    wrong = []
-    for (s, d), g in edges.items():
-        kept = net.weights[s, d]
-        for r in g.orderBy(F.desc(F.abs("g")), "src", "dst").limit(places).collect():
-            here = (F.col("src") == r["src"]) & (F.col("dst") == r["dst"])
-            net.weights[s, d] = kept.withColumn("w", F.when(here, F.col("w") + step).otherwise(F.col("w")))
-            error = abs((net.error(inputs, targets) - base) / step + r["g"])
+def validate(net: Network, inputs: DataFrame, targets: DataFrame, step: float = 0.001, within: float = 20.0, block: int = 512) -> list[tuple[str, int | None, int, float]]:
+    """The errors of the gradients against one-sided differences, of all weights and biases that differ by
+    more than `within` steps (none: the gradients are right); src is null for a bias. `block` places at a
+    time, each with its own copy of the samples."""
+    edges, biases, base = net.gradients(inputs, targets)
+    spark, wrong = net.spark, []
+    tables = [((s, d), f"{s}-{d}", g.select("src", "dst", "g"), 1.0) for (s, d), g in edges.items()]
+    tables += [(d, d, g.select(F.lit(None).cast("bigint").alias("src"), "dst", "g"), -1.0) for d, g in biases.items()]
+
+    def check(key, name: str, rows: list, sign: float) -> None:
+        table = spark.createDataFrame([(r["src"], r["dst"], step, i) for i, r in enumerate(rows)], "src bigint, dst bigint, by double, copy bigint")
+        errors = net.errors_nudged(inputs, targets, {key: table if isinstance(key, tuple) else table.drop("src")}, len(rows))
+        for i, r in enumerate(rows):
+            error = abs((errors[i] - base) / step + sign * r["g"])
             if error > within * step:
-                wrong.append((f"{s}-{d}", r["src"], r["dst"], error))
-        net.weights[s, d] = kept
+                wrong.append((name, r["src"], r["dst"], error))
+
+    for key, name, g, sign in tables:
+        rows = []
+        for r in g.toLocalIterator():
+            rows.append(r)
+            if len(rows) == block:
+                check(key, name, rows, sign)
+                rows = []
+        if rows:
+            check(key, name, rows, sign)
     return wrong
 
 
-def run_command(spark: SparkSession, text: str, k: int = 100, batch: int = 1024):
+def run_command(spark: SparkSession, text: str, k: int | None = None, batch: int = 1024):
     """Train: the epochs' errors (the model goes to `results`); predict: top-k rows (written to `results`
-    if named); validate: the places where a gradient is wrong."""
+    if named; k: 100, or the output's width where that is less); validate: the places where a gradient is wrong."""
     c = parse_command(text)
     inputs, targets = dataset.load(spark, f"{c.data}/input"), dataset.load(spark, f"{c.data}/output")
     if inputs.of.examples != targets.of.examples:
@@ -56,17 +68,14 @@ def run_command(spark: SparkSession, text: str, k: int = 100, batch: int = 1024)
     if c.mode == "predict":
         if c.checkpoint:
             net.load(c.checkpoint)
-        found = net.predict(inputs.expanded(), min(k, 128, targets.of.width))
+        found = net.predict(inputs.expanded(), min(100, targets.of.width) if k is None else k)
         if c.results:
             found.write.parquet(c.results)
         return found
-    errors, alpha = [], c.alpha
-    for epoch in range(c.epochs):
-        if c.alpha_interval and epoch and epoch % c.alpha_interval == 0:
-            alpha *= c.alpha_multiplier
-        errors += net.train(inputs.expanded(), targets.expanded(), 1, batch, c.optimizer, alpha, c.mu, c.l2)
-        if c.checkpoint and c.checkpoint_interval and (epoch + 1) % c.checkpoint_interval == 0:
-            net.save(f"{c.checkpoint}{epoch + 1}")
+    errors = net.train(
+        inputs.expanded(), targets.expanded(), c.epochs, batch, c.optimizer, c.alpha, c.mu, c.l2,
+        checkpoint=c.checkpoint, interval=c.checkpoint_interval, alpha_interval=c.alpha_interval, alpha_multiplier=c.alpha_multiplier,
+    )
     if c.results:
         net.save(c.results)
     return errors

@@ -55,6 +55,7 @@ class Layer:
     slope: float = activations.SLOPE
     elu_alpha: float = activations.ELU_ALPHA
     selu_lambda: float = activations.SELU_LAMBDA
+    batch_norm: bool = False
 
 
 @dataclass(frozen=True)
@@ -129,7 +130,7 @@ def parse_network(text: str) -> Spec:
             name, kind, _one_of("type", x.get("type", "fullyconnected"), TYPES), tuple(sources) if kind != "input" else (), tuple([skips] if isinstance(skips, str) else skips), n, x.get("dataset"),
             _one_of("activation", x.get("activation", "sigmoid"), ACTIVATIONS), pooling, _one_of("weight scheme", init.get("scheme", "xavier"), SCHEMES), float(init.get("scale", 1.0)), float(binit.get("bias", 0.0)),
             float(x.get("pdropout", 0.0)), str(x.get("sparse", "false")).lower() == "true", float(x.get("weightnorm", 0.0)), float(x.get("deltanorm", 0.0)),
-            float(x.get("slope", x.get("relusslope", activations.SLOPE))), float(x.get("elualpha", activations.ELU_ALPHA)), float(x.get("selulambda", activations.SELU_LAMBDA)),
+            float(x.get("slope", x.get("relusslope", activations.SLOPE))), float(x.get("elualpha", activations.ELU_ALPHA)), float(x.get("selulambda", activations.SELU_LAMBDA)), str(x.get("batchnormalization", "false")).lower() == "true",
         ))
     m, s = raw.get("scaledmarginalcrossentropy", raw.get("datascaledmarginalcrossentropy", {})), raw.get("sparsenesspenalty", {})
     out = Spec(
@@ -190,6 +191,8 @@ class Network:
         for x in spec.layers:
             if x.type != "fullyconnected":
                 raise SpecError(f"layer {x.name}: training takes fully connected layers")
+            if x.pooling or x.batch_norm:
+                raise SpecError(f"layer {x.name}: pooling and batch normalisation are functions, not parts of a network")
             self.widths.setdefault(x.name, x.n or 0)
             if not self.widths[x.name]:
                 raise SpecError(f"layer {x.name} has no width")
@@ -204,8 +207,12 @@ class Network:
                 self.biases[x.name] = kept(spark.range(self.widths[x.name]).select(F.col("id").alias("dst"), F.lit(x.bias).alias("w"), F.lit(0.0).alias("v"), F.lit(0.0).alias("vg")))
         self.batches = 0
 
-    def forward(self, cells: DataFrame, train: bool = False, epoch: int = 0) -> dict[str, DataFrame]:
-        """(sample, unit, a) of each layer. Samples without input cells have the biases alone."""
+    def forward(self, cells: DataFrame, train: bool = False, epoch: int = 0, nudged: dict | None = None, copies: int = 1) -> dict[str, DataFrame]:
+        """(sample, unit, a) of each layer. Samples without input cells have the biases alone.
+
+        nudged: for an edge (src, dst, by, copy), for a layer's biases (dst, by, copy): what is added to a
+        weight for the samples of one copy, which are those with sample % copies = copy."""
+        nudged, copy = nudged or {}, F.pmod("sample", F.lit(copies))
         samples = cells.select("sample").distinct()
         out: dict[str, DataFrame] = {}
         for x in self.spec.order():
@@ -217,16 +224,24 @@ class Network:
             for s in x.sources:
                 part = dense.dense_z(out[s], self.weights[s, x.name]).select("sample", "unit", F.col("z").alias("a"))
                 z = part if z is None else z.unionByName(part)
+                if (s, x.name) in nudged:
+                    moved = out[s].withColumn("copy", copy).withColumnRenamed("unit", "src").join(nudged[s, x.name], ["src", "copy"])
+                    z = z.unionByName(moved.select("sample", F.col("dst").alias("unit"), (F.col("a") * F.col("by")).alias("a")))
             for s in x.skips:
                 z = z.unionByName(out[s].select("sample", "unit", "a"))
             every = samples.crossJoin(F.broadcast(self.biases[x.name].select(F.col("dst").alias("unit"), F.col("w").alias("a"))))
+            if x.name in nudged:
+                every = every.unionByName(samples.withColumn("copy", copy).join(nudged[x.name], "copy").select("sample", F.col("dst").alias("unit"), F.col("by").alias("a")))
             z = z.unionByName(every).groupBy("sample", "unit").agg(fixed_sum(F.col("a")).alias("x"))
             if x.activation == "softmax":
                 a = activations.softmax(z).select("sample", "unit", "a")
             else:
                 a = z.select("sample", "unit", activations.activation(x.activation, F.col("x"), x.slope, x.elu_alpha, x.selu_lambda).alias("a"))
             if train and x.dropout:
-                a = dense.dropout(a, x.dropout, 0.5 if x.activation == "sigmoid" else 0.0, epoch)
+                if x.activation in ("elu", "selu"):
+                    a = dense.biased_dropout(a, x.dropout, x.activation, x.elu_alpha, x.selu_lambda, epoch)
+                else:
+                    a = dense.dropout(a, x.dropout, 0.5 if x.activation == "sigmoid" else 0.0, epoch)
             out[x.name] = kept(a) if train else a
         return out
 
@@ -239,6 +254,21 @@ class Network:
         units, n = self.forward(cells), cells.select("sample").distinct().count()
         return sum(losses.dense_loss(self._loss(x), self._grid(x, units, targets), self.spec.margin).first()["loss"] for x in self.spec.layers if x.kind == "output") / max(1, n)
 
+    def errors_nudged(self, cells: DataFrame, targets: DataFrame, nudged: dict, copies: int) -> dict[int, float]:
+        """The mean loss of an example with each copy's nudge, in one pass over copies of the samples."""
+
+        def copied(t: DataFrame) -> DataFrame:
+            return t.withColumn("sample", F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda c: F.col("sample") * copies + c)))
+
+        n, out = cells.select("sample").distinct().count(), dict.fromkeys(range(copies), 0.0)
+        units, goal = self.forward(copied(cells), nudged=nudged, copies=copies), copied(targets)
+        for x in self.spec.layers:
+            if x.kind == "output":
+                loss = losses.loss(self._loss(x), F.col("a"), F.col("t"), None, self.spec.margin)
+                for r in self._grid(x, units, goal).groupBy(F.pmod("sample", F.lit(copies)).alias("copy")).agg(fixed_sum(loss).alias("loss")).collect():  # a row for each copy
+                    out[r["copy"]] += r["loss"] / max(1, n)
+        return out
+
     def _loss(self, x: Layer) -> str:
         multi = x.activation == "softmax" and self.spec.loss in ("crossentropy", "scaledmarginalcrossentropy")
         return ("multinomial" if multi else "") + self.spec.loss
@@ -296,36 +326,48 @@ class Network:
         self.batches += 1
         return error
 
-    def train(self, cells: DataFrame, targets: DataFrame, epochs: int, batch: int = 1024, optimizer: str = "sgd", alpha: float = 0.1, mu: float = 0.9, l2: float = 0.0, decay: float = 0.0, checkpoint: str | None = None, interval: int = 0) -> list[float]:
-        """Mean errors of the epochs. Samples are dealt into batches by a hash of (sample, epoch)."""
+    def train(self, cells: DataFrame, targets: DataFrame, epochs: int, batch: int = 1024, optimizer: str = "sgd", alpha: float = 0.1, mu: float = 0.9, l2: float = 0.0, decay: float = 0.0, checkpoint: str | None = None, interval: int = 0, alpha_interval: int = 0, alpha_multiplier: float = 1.0) -> list[float]:
+        """Mean errors of the epochs. Samples are dealt into batches by a hash of (sample, epoch); an epoch's
+        cells are written once by batch, so a batch reads its own part only. The step size is
+        multiplied by alpha_multiplier after every alpha_interval epochs."""
         brake, out = optimizers.Brake(), []
-        n = cells.select("sample").distinct().count()
-        count = max(1, -(-n // batch))
+        count = max(1, -(-cells.select("sample").distinct().count() // batch))
+        dealt = None
         for epoch in range(epochs):
+            if alpha_interval and epoch and epoch % alpha_interval == 0:
+                alpha *= alpha_multiplier
+            if dealt is None or self.spec.shuffle:
+                dealt = [self._by_batch(t, epoch if self.spec.shuffle else 0, count) for t in (cells, targets)]
+                # batches that hold samples; at most `count` numbers
+                filled = sorted(r["batch"] for r in dealt[0].select("batch").distinct().collect())
             total = 0.0
-            for b in range(count):
-                here = F.pmod(F.xxhash64("sample", F.lit(epoch if self.spec.shuffle else 0)), F.lit(count)) == b
-                part = cells.where(here)
-                if not part.limit(1).count():
-                    continue
-                step = optimizers.decayed(alpha, decay, self.batches) * (brake.factor(total / b) if b and total else 1.0)
-                total += self.train_batch(part, targets.where(here), optimizer, step, mu, l2, 0.0, epoch)
-            out.append(total / count)
+            for done, b in enumerate(filled):
+                part, goal = (t.where(F.col("batch") == b).drop("batch") for t in dealt)
+                step = optimizers.decayed(alpha, decay, self.batches) * (brake.factor(total / done) if done and total else 1.0)
+                total += self.train_batch(part, goal, optimizer, step, mu, l2, 0.0, epoch)
+            out.append(total / max(1, len(filled)))
             if checkpoint and interval and (epoch + 1) % interval == 0:
                 self.save(f"{checkpoint}{epoch + 1}")
         return out
 
+    @staticmethod
+    def _by_batch(rows: DataFrame, epoch: int, count: int) -> DataFrame:
+        number = F.pmod(F.xxhash64("sample", F.lit(epoch)), F.lit(count)).cast("int")
+        rows = rows.withColumn("batch", number)
+        return kept(rows.repartition("batch") if count > 1 else rows, "batches", by="batch")
+
     def predict(self, cells: DataFrame, k: int, layer: str | None = None, filters: DataFrame | None = None) -> DataFrame:
-        """(sample, rank, idx, score): the k best units of a layer (the output layer), after filters."""
+        """(sample, rank, idx, score): the k best units of a layer (the output layer), after filters; the
+        whole layer for k <= 0."""
         from cellweave.operators.rank import apply_filter
 
         name = layer or next(x.name for x in self.spec.layers if x.kind == "output")
-        if not 0 < k <= 128 or k > self.widths[name]:
-            raise ValueError("k must be from 1 to 128 and at most the layer's width")
+        if k > min(128, self.widths[name]):
+            raise ValueError("k must be at most 128 and the layer's width")
         scores = self.forward(cells)[name].select("sample", F.col("unit").alias("idx"), F.col("a").alias("score"))
         if filters is not None:
             scores = apply_filter(scores, filters)
-        return topk(scores, k).select("sample", "rank", "idx", "score")
+        return topk(scores, k if k > 0 else self.widths[name]).select("sample", "rank", "idx", "score")
 
     def save(self, path: str) -> None:
         for (s, d), w in self.weights.items():

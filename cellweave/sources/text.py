@@ -39,22 +39,24 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("value", F.struct("file", "block", "row").alias("ord"))
 
 
-def parse_samples(lines: DataFrame, order: str | None = "ord") -> DataFrame:
+def parse_samples(lines: DataFrame, order: str | None = "ord", appearance: bool = False) -> DataFrame:
     """(sample, pos, feature, value) from lines of `sample \\t feature[,value]:feature[,value]...`.
 
     Empty lines, lines without a tab and empty elements are skipped; a missing value is 0; of more
     than two parts the first value counts; with `order`, a sample's last line replaces earlier ones
-    (a partial aggregate, not a window over a sample's lines). A value that isn't a number raises."""
+    (a partial aggregate, not a window over a sample's lines). A value that isn't a number raises.
+    appearance: also `first`, the order of the sample's first line, and `at`, that of the element."""
     parts = F.split("value", "\t", -1)
     rows = lines.where(F.size(parts) >= 2)
     if order:
-        rows = rows.groupBy(F.get(parts, F.lit(0)).alias("sample")).agg(F.max_by(F.get(parts, F.lit(1)), F.col(order)).alias("list"))
+        rows = rows.groupBy(F.get(parts, F.lit(0)).alias("sample")).agg(F.max_by(F.get(parts, F.lit(1)), F.col(order)).alias("list"), F.min(order).alias("first"), F.max(order).alias("last"))
     else:
         rows = rows.select(F.get(parts, F.lit(0)).alias("sample"), F.get(parts, F.lit(1)).alias("list"))
-    each = rows.select("sample", F.posexplode(F.filter(F.split("list", ":", -1), lambda x: x != "")).alias("pos", "element"))
+    more = ["first", "last"] if appearance else []
+    each = rows.select("sample", *more, F.posexplode(F.filter(F.split("list", ":", -1), lambda x: x != "")).alias("pos", "element"))
     bits = F.split("element", ",", -1)
     value = F.when(F.size(bits) > 1, F.get(bits, F.lit(1)).cast("double")).otherwise(0.0)
-    return each.select("sample", "pos", F.get(bits, F.lit(0)).alias("feature"), value.alias("value"))
+    return each.select("sample", "pos", F.get(bits, F.lit(0)).alias("feature"), value.alias("value"), *(["first", F.struct("last", "pos").alias("at")] if appearance else []))
 
 
 def build_index(labels: DataFrame, first_seen: str, old: DataFrame | None = None) -> DataFrame:

@@ -56,3 +56,11 @@ def test_images(spark, tmp_path):
     got = images.read_images(spark, str(tmp_path / "a.bin"), size=3)
     assert sorted((r["sample"], r["feature"], r["value"]) for r in images.pixel_cells(got, 3).collect()) == [(0, 0, 0.0), (0, 1, 255.0), (0, 2, 7.0), (1, 0, 1.0), (1, 1, 2.0), (1, 2, 4.0)]
     assert sorted((r["sample"], r["feature"]) for r in images.label_cells(got).collect()) == [(0, 3), (1, 9)]
+
+
+def test_labels_are_numbered_by_first_appearance(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    (tmp_path / "a.txt").write_text("zeta\tq,1:b,2\nalpha\ta,1:q,3\nmid\tb,1:c,1\n")
+    cli.main(["generate", "-d", "x", "-i", at("a.txt"), "-o", at("d"), "-f", at("f"), "-s", at("s"), "-t", "analog"], spark)
+    index = lambda n: [r["label"] for r in cli.text.load_index(spark, at(n)).orderBy("idx").collect()]
+    assert index("s") == ["zeta", "alpha", "mid"] and index("f") == ["q", "b", "a", "c"]

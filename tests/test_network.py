@@ -100,3 +100,58 @@ def test_streamed_neighbours_equal_the_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).select("query", "rank", "key", "score")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, nearest(vecs, vecs, 3).select("query", "rank", "key", "score").collect()))
+
+
+def test_validate_checks_every_weight_and_bias(spark, monkeypatch):
+    from cellweave.plans import commands
+
+    cells, targets = data(spark)
+    net = nn.Network(spark, spec(), {})
+    assert commands.validate(net, cells, targets, block=4) == []
+    right = net.gradients
+
+    def off(*a, **k):  # a gradient wrongly zero, and a wrong bias
+        edges, biases, error = right(*a, **k)
+        edges["Hidden", "Output"] = edges["Hidden", "Output"].withColumn("g", F.when((F.col("src") == 1) & (F.col("dst") == 0), 0.5).otherwise(F.col("g")))
+        biases["Hidden"] = biases["Hidden"].withColumn("g", F.when(F.col("dst") == 2, F.col("g") + 0.1).otherwise(F.col("g")))
+        return edges, biases, error
+
+    monkeypatch.setattr(net, "gradients", off)
+    assert {(n, s, d) for n, s, d, _ in commands.validate(net, cells, targets)} == {("Hidden-Output", 1, 0), ("Hidden", None, 2)}
+
+
+def test_epochs_differ_and_share_one_brake(spark):
+    """Each epoch deals its own batches, and the batches of all epochs are counted on."""
+    cells, targets = data(spark)
+    net, seen, whole = nn.Network(spark, spec(), {}), [], cells.count()
+
+    def batch(part, goal, optimizer, step, mu, l2, l1, epoch):
+        seen.append((epoch, sorted({r["sample"] for r in part.select("sample").collect()})))
+        net.batches += 1
+        return 1.0
+
+    net.train_batch = batch
+    errors = net.train(cells, targets, epochs=4, batch=2, alpha=0.5, alpha_interval=2, alpha_multiplier=0.1)
+    assert len(errors) == 4 and net.batches == len(seen) and whole == 8
+    for e in range(4):
+        assert sorted(s for x, part in seen if x == e for s in part) == [0, 1, 2, 3]
+    assert len({tuple(map(tuple, (p for x, p in seen if x == e))) for e in range(4)}) > 1
+
+
+def test_what_a_network_does_not_run_is_an_error(spark):
+    for extra in ({"Pooling": "Max"}, {"BatchNormalization": True}):
+        layers = [SMALL["Layers"][0], {**SMALL["Layers"][1], **extra}, SMALL["Layers"][2]]
+        with pytest.raises(nn.SpecError, match="Hidden"):
+            nn.Network(spark, spec(Layers=layers), {})
+
+
+def test_whole_layer_and_elu_dropout(spark):
+    cells, targets = data(spark)
+    net = nn.Network(spark, spec(), {})
+    assert sorted((r["sample"], r["rank"]) for r in net.predict(cells, 0).collect()) == [(s, r) for s in range(4) for r in (1, 2)]
+    layers = [SMALL["Layers"][0], {**SMALL["Layers"][1], "Activation": "ELU", "pDropout": 0.5}, SMALL["Layers"][2]]
+    net = nn.Network(spark, spec(Layers=layers), {})
+    a = {r["a"] for r in net.forward(cells, train=True)["Hidden"].collect()}
+    low = -1.0
+    scale = 1 / (0.5 + low * low * 0.25) ** 0.5
+    assert any(abs(x - (scale * low - scale * 0.5 * low)) < 1e-9 for x in a)  # a dropped unit sits at the saturation value
