@@ -161,7 +161,17 @@ FROM ruled r JOIN templates t ON r.host = t.host AND r.path = t.path JOIN score
 """
 
 
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_OP7 = f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings WHERE {_FINITE}),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, m.b AS component_id, vec_id = m.b AS kept
+FROM embeddings JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries train models, hash or search in ways SQL can't express: tests/llm compares
     them with brute force, round trips and held-out labels."""
-    return {"op3_url_template_tree": _OP3, "op6_warc_store": _OP6}
+    return {"op3_url_template_tree": _OP3, "op6_warc_store": _OP6, "op7_pstable_embeddings": _OP7}
