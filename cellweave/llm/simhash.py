@@ -477,7 +477,7 @@ def similar_groups(docs: DataFrame, words: int = 5, prints: int = 6, all_bits: i
     nodes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints")), "set-nodes")
     known = known.select("doc_id", "digest")
     fps = nodes.select(F.get("prints", F.lit(0)).alias("fp"), "node", F.col("prints").alias("wide"))
-    found = materialise(links(fps, 24, prints, all_bits, block, plan_for(*bit_counts(fps), similar, recall)), "candidates")
+    found = materialise(links(fps, 20, prints, all_bits, block, plan_for(*bit_counts(fps), similar, recall)), "candidates")
     near = materialise(connected_components(found), "near")
     discard(found)
 
