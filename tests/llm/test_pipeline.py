@@ -129,3 +129,24 @@ def test_language_id_without_any_label(spark):
     rows = [(1, "some text", None), (2, "12 34 !", None), (None, "é", None), (3, None, None), (4, "", None)]
     got = corpus_pipeline.language_id(spark, table(spark, rows), "")
     assert sorted(r["text"] for r in got.collect()) == ["some text", "é"]
+
+
+def test_stages_with_nulls_clashing_columns_and_empty_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "an item of the benchmark that no document holds")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, TEXT string, row bigint"
+    rows = [(None, None, None, None, None, "x", 1), (1, "", None, None, None, None, None), (2, "plain words", None, None, None, "y", 2), (2, "plain words", None, None, None, "y", 2)]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    docs = spark.createDataFrame(rows, schema)
+    spark.conf.unset("spark.sql.caseSensitive")
+    want = {"language ID": ["plain words"] * 2, "SimHash near-dedup": ["", "plain words"], "benchmark decontamination": ["", None, "plain words", "plain words"], "secret scans": ["", None, "plain words", "plain words"]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS
+        texts = [r["text"] for r in out.collect()]
+        if name == "SimHash near-dedup":  # null and empty have no shingles: one group, the row with an id stays
+            assert sorted(texts) == want[name]
+        else:
+            assert sorted(texts, key=str) == sorted(want[name], key=str)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    pieces = corpus_pipeline.packing(spark, docs, str(tmp_path))
+    assert pieces.where("length = 1 AND doc_tokens = 1").count() == 2 and corpus_pipeline.packing(spark, docs.limit(0), str(tmp_path)).count() == 0
