@@ -1,11 +1,14 @@
 """Further queries: backward passes of pooling and convolution, sparse softmax and boosted forms, indexed data."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from cellweave.functions import losses
 from cellweave.functions.fixed import fixed_sum
 from cellweave.operators import dense, rank, sparse
+from cellweave.plans import network
 from cellweave.plans.catalog import _NX, _PAIR, _deltas, _pairs, _u, query, r6
 from cellweave.plans.fixtures import cells, class_grid, embedding_units, fixed, formula, plane, table, w_sql, with_, x_grid
 
@@ -149,6 +152,42 @@ def tied_weights(spark, d):
     return dense.dense_z(x, dense.transpose(_grid_of(spark, src=8, dst=8).select("src", "dst", formula(F.col("src"), F.col("dst")).alias("w")))).select("sample", "unit", *r6("z"))
 
 
+_SEED = 12134
+
+
+def _dense_w(src: int, dst: int, edge: int) -> str:
+    return f"(SELECT src, dst, ({_u('src', 'dst', seed=_SEED + 7919 * edge)} * 2 - 1) * 0.25::DOUBLE AS w FROM range({src}) r(src), range({dst}) q(dst))"
+
+
+def _network(spark, d, *hidden: dict, out: int):
+    init = {"WeightInit": {"Scheme": "Uniform", "Scale": 0.25}}
+    layers = [{"Name": "Input", "Kind": "Input", "N": [4, 4, 4]}, *[{"Kind": "Hidden", "Activation": "Tanh", **init, **x} for x in hidden], {"Name": "Output", "Kind": "Output", "N": out, "Activation": "Sigmoid", **init}]
+    net = network.Network(spark, network.parse_network(json.dumps({"Layers": layers})), {}, _SEED)
+    return net, embedding_units(spark, d).select("sample", F.col("unit").alias("feature"), F.col("a").alias("value"))
+
+
+_CONV = f", c AS (SELECT sample, o, x, y, tanh({fixed('a * w')}) AS a FROM (SELECT p.sample, k.dst AS o, p.unit % 4 - k.src % 3 + 1 AS x, p.unit // 4 % 4 - k.src // 3 % 3 + 1 AS y, p.a, k.w FROM units p JOIN {_dense_w(36, 2, 0)} k ON k.src // 9 = p.unit // 16) WHERE x BETWEEN 0 AND 3 AND y BETWEEN 0 AND 3 GROUP BY 1, 2, 3, 4), m AS (SELECT sample, o * 4 + y // 2 * 2 + x // 2 AS src, max(a) AS a FROM c GROUP BY 1, 2)"
+
+
+@query(with_("units") + _CONV + f" SELECT sample, dst AS unit, round(1 / (1 + exp(-{fixed('a * w')})), 6) AS a FROM m JOIN {_dense_w(8, 4, 1)} USING (src) GROUP BY 1, 2")
+def network_forward(spark, d):
+    """A convolution, max pooling and a sigmoid output over planes of 4 x 4 with 4 channels."""
+    square = lambda k, s: {"Kernel": [k, k], "KernelStride": [s, s]}
+    net, c = _network(spark, d, {"Name": "C", "Type": "Convolutional", "N": 2, **square(3, 1)}, {"Name": "M", "Type": "Pooling", "Pooling": "Max", "Activation": "Linear", **square(2, 2)}, out=4)
+    return net.forward(c)["Output"].select("sample", "unit", *r6("a"))
+
+
+_BACK = f", h AS (SELECT sample, dst AS j, tanh({fixed('a * w')}) AS h FROM units JOIN {_dense_w(64, 8, 0)} ON unit = src GROUP BY 1, 2), o AS (SELECT sample, dst AS k, 1 / (1 + exp(-{fixed('h * w')})) AS o FROM h JOIN {_dense_w(8, 10, 1)} ON j = src GROUP BY 1, 2), e AS (SELECT sample, k, (o - (k = label)::INT) * (o * (1 - o)) AS e FROM o JOIN embeddings ON vec_id = sample), b AS (SELECT sample, src AS j, {fixed('e * w')} AS b FROM e JOIN {_dense_w(8, 10, 1)} ON k = dst GROUP BY 1, 2), d AS (SELECT sample, j, b * (1 - h * h) AS d FROM b JOIN h USING (sample, j))"
+
+
+@query(with_("units") + _BACK + f" SELECT unit::BIGINT AS src, j AS dst, round({fixed('a * d')} * (-1::DOUBLE / (SELECT count(*) FROM embeddings)), 6) AS g FROM units JOIN d USING (sample) GROUP BY 1, 2")
+def network_backward(spark, d):
+    """The gradient of the first weights of two fully connected layers, squared error against labels."""
+    net, c = _network(spark, d, {"Name": "H", "N": 8}, out=10)
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), F.col("label").cast("bigint").alias("feature"), F.lit(1.0).alias("value"))
+    return net.gradients(c, labels)[0]["Input", "H"].select("src", "dst", *r6("g"))
+
+
 @query("SELECT o_custkey AS sample, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date, count(*) AS n FROM orders GROUP BY 1")
 def sample_dates(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("sample")).agg(F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date"), F.count("*").alias("n"))

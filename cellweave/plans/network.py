@@ -8,20 +8,22 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
+from math import prod
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import activations, losses, optimizers
 from cellweave.functions.fixed import fixed_sum
 from cellweave.functions.generators import weight_init
 from cellweave.functions.tables import kept
-from cellweave.operators import dense
+from cellweave.operators import dense, linked
 from cellweave.operators.rank import topk
 from cellweave.operators.sparse import denoise
 
 #: The keys of a network and of a layer, in lower case; other layer keys are errors.
-LAYER_KEYS = frozenset("name kind type source sources skip n nx ny nz pooling dataset activation weightinit biasinit pdropout sparse weightnorm deltanorm relusslope slope elualpha selulambda kernel kernelx kernely kernelz kernelstride kernelstridex kernelstridey kernelstridez batchnormalization attributes".split())
+LAYER_KEYS = frozenset("name kind type source sources skip n nx ny nz pooling dataset activation weightinit biasinit pdropout sparse weightnorm deltanorm relusslope slope elualpha selulambda kernel kernelx kernely kernelz kernelstride kernelstridex kernelstridey kernelstridez batchnormalization sharedweights attributes".split())
+SHARED_KEYS = frozenset("sourceinputlayer sourceoutputlayer inputlayer transposed".split())
 KINDS = ("input", "hidden", "output", "target")
 TYPES = ("fullyconnected", "convolutional", "pooling")
 POOLINGS = ("max", "average", "lrn", "maxout", "dotproduct", "cosine")
@@ -34,6 +36,15 @@ class SpecError(ValueError):
     """A network or command that can't be read."""
 
 
+@dataclass(frozen=True)
+class Shared:
+    """The edge from `input` to a layer takes the weights of another edge; biases are never shared."""
+
+    input: str
+    source: tuple[str, str]
+    transposed: bool = False
+
+
 @dataclass(frozen=True)
 class Layer:
     name: str
@@ -56,6 +67,10 @@ class Layer:
     elu_alpha: float = activations.ELU_ALPHA
     selu_lambda: float = activations.SELU_LAMBDA
     batch_norm: bool = False
+    shape: tuple[int, ...] = ()
+    kernel: tuple[int, ...] = ()
+    stride: tuple[int, ...] = ()
+    shared: tuple[Shared, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -100,6 +115,31 @@ def _one_of(what: str, value: str, known: tuple[str, ...]) -> str:
     return str(value).lower()
 
 
+def _axes(x: dict, key: str, name: str) -> tuple[int, ...]:
+    """A value for each axis: a number or a list under key, or key with x, y or z behind it."""
+    given = x.get(key, [])
+    out = list(given) if isinstance(given, list) else [given]
+    for i, axis in enumerate("xyz"):
+        if f"{key}{axis}" in x:
+            out += [1] * (i + 1 - len(out))
+            out[i] = x[f"{key}{axis}"]
+    if len(out) > 4 or any(not isinstance(v, int) or isinstance(v, bool) or v < 1 for v in out):
+        raise SpecError(f"layer {name}: {key} takes whole numbers from 1")
+    return tuple(out)
+
+
+def _shared(x: dict, name: str, sources: list[str]) -> tuple[Shared, ...]:
+    given = x.get("sharedweights", [])
+    out = []
+    for y in given if isinstance(given, list) else [given]:
+        if odd := sorted(set(y) - SHARED_KEYS):
+            raise SpecError(f"unknown shared weight field {odd[0]}")
+        if y.get("inputlayer") not in sources:
+            raise SpecError(f"layer {name}: shared weights of a layer that is no source")
+        out.append(Shared(y["inputlayer"], (y.get("sourceinputlayer", ""), y.get("sourceoutputlayer", "")), str(y.get("transposed", False)).lower() == "true"))
+    return tuple(out)
+
+
 def parse_network(text: str) -> Spec:
     """A Spec of the JSON layer language; keys and names of values in any case."""
     raw = _lower(json.loads(text))
@@ -118,7 +158,8 @@ def parse_network(text: str) -> Spec:
         skips = x.get("skip", [])
         init, binit = x.get("weightinit", {}), x.get("biasinit", {})
         pooling = _one_of("pooling", x["pooling"], POOLINGS) if "pooling" in x else None
-        n = x.get("n")
+        shape = _axes(x, "n", name) if isinstance(x.get("n"), list) or any(f"n{a}" in x for a in "xyz") and not isinstance(x.get("n"), str) else ()
+        n = prod(shape) if shape else x.get("n")
         if n is not None and str(n).lower() != "auto" and (not isinstance(n, int) or n < 1):
             raise SpecError(f"layer {name}: N must be a whole number or auto")
         n = None if n is None or str(n).lower() == "auto" else n
@@ -131,6 +172,7 @@ def parse_network(text: str) -> Spec:
             _one_of("activation", x.get("activation", "sigmoid"), ACTIVATIONS), pooling, _one_of("weight scheme", init.get("scheme", "xavier"), SCHEMES), float(init.get("scale", 1.0)), float(binit.get("bias", 0.0)),
             float(x.get("pdropout", 0.0)), str(x.get("sparse", "false")).lower() == "true", float(x.get("weightnorm", 0.0)), float(x.get("deltanorm", 0.0)),
             float(x.get("slope", x.get("relusslope", activations.SLOPE))), float(x.get("elualpha", activations.ELU_ALPHA)), float(x.get("selulambda", activations.SELU_LAMBDA)), str(x.get("batchnormalization", "false")).lower() == "true",
+            shape, _axes(x, "kernel", name), _axes(x, "kernelstride", name), _shared(x, name, sources),
         ))
     m, s = raw.get("scaledmarginalcrossentropy", raw.get("datascaledmarginalcrossentropy", {})), raw.get("sparsenesspenalty", {})
     out = Spec(
@@ -184,32 +226,130 @@ def parse_command(text: str) -> Command:
 
 
 class Network:
-    """A fully connected feed-forward network over input cells(sample, feature, value)."""
+    """A feed-forward network over input cells(sample, feature, value).
+
+    Convolutions hold their kernels as weights(src: row, dst: channel) and a bias for each channel; pooling
+    layers hold nothing. Batch normalisation uses the batch's moments in training, else the mean of all
+    batches' moments. Edges with shared weights are one table, whose gradients add up."""
 
     def __init__(self, spark: SparkSession, spec: Spec, widths: dict[str, int], seed: int = 12134):
         self.spark, self.spec, self.widths = spark, spec, dict(widths)
+        self.shapes: dict[str, tuple[int, ...]] = {}
+        self.links: dict[tuple[str, str], DataFrame] = {}
+        for x in spec.order():
+            self._place(x)
+        #: each edge's weights: the edge that owns them, and whether they are transposed
+        self.owner = {(s, x.name): ((s, x.name), False) for x in spec.layers if x.type != "pooling" for s in x.sources}
         for x in spec.layers:
-            if x.type != "fullyconnected":
-                raise SpecError(f"layer {x.name}: training takes fully connected layers")
-            if x.pooling or x.batch_norm:
-                raise SpecError(f"layer {x.name}: pooling and batch normalisation are functions, not parts of a network")
-            self.widths.setdefault(x.name, x.n or 0)
-            if not self.widths[x.name]:
-                raise SpecError(f"layer {x.name} has no width")
+            for y in x.shared:
+                self._share(x, y)
         self.weights: dict[tuple[str, str], DataFrame] = {}
         self.biases: dict[str, DataFrame] = {}
+        self.scales: dict[str, DataFrame] = {}
+        self.shifts: dict[str, DataFrame] = {}
+        self.moments: dict[str, DataFrame] = {}
         for x in spec.layers:
-            for s in x.sources:
-                grid = spark.range(self.widths[s]).select(F.col("id").alias("src")).withColumn("dst", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.widths[x.name] - 1).cast("bigint"))))
-                w = weight_init(x.scheme, F.col("src"), F.col("dst"), self.widths[s], self.widths[x.name], x.scale, seed)
+            if x.kind == "input":
+                continue
+            channels = self._channels(x)
+            for s in x.sources if x.type != "pooling" else ():
+                if self.owner[s, x.name][0] != (s, x.name):
+                    continue
+                rows = self._kernel_rows(s, x) if x.type == "convolutional" else self.widths[s]
+                grid = spark.range(rows).select(F.col("id").alias("src")).withColumn("dst", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(channels - 1).cast("bigint"))))
+                own = seed + 7919 * len(self.weights)  # layers of one shape don't start alike
+                w = weight_init(x.scheme, F.col("src"), F.col("dst"), self.widths[s], self.widths[x.name], x.scale, own)
                 self.weights[s, x.name] = kept(grid.select("src", "dst", w.alias("w"), F.lit(0.0).alias("v"), F.lit(0.0).alias("vg")))
-            if x.kind != "input":
-                self.biases[x.name] = kept(spark.range(self.widths[x.name]).select(F.col("id").alias("dst"), F.lit(x.bias).alias("w"), F.lit(0.0).alias("v"), F.lit(0.0).alias("vg")))
+            state = lambda w: kept(spark.range(channels).select(F.col("id").alias("dst"), F.lit(w).alias("w"), F.lit(0.0).alias("v"), F.lit(0.0).alias("vg")))  # noqa: B023, E731
+            if x.type != "pooling":
+                self.biases[x.name] = state(x.bias)
+            if x.batch_norm:
+                self.scales[x.name], self.shifts[x.name] = state(1.0), state(0.0)
+                self.moments[x.name] = kept(spark.range(channels).select(F.col("id").alias("dst"), F.lit(0.0).alias("m"), F.lit(0.0).alias("var"), F.lit(0).cast("bigint").alias("calls")))
         self.batches = 0
 
-    def forward(self, cells: DataFrame, train: bool = False, epoch: int = 0, nudged: dict | None = None, copies: int = 1) -> dict[str, DataFrame]:
+    def _place(self, x: Layer) -> None:
+        """A layer's shape and width, from its own size or its sources', and its links to them."""
+        spatial = x.kernel + (1,) * (4 - len(x.kernel))
+        steps = (x.stride or (1,)) + (1,) * (4 - len(x.stride or (1,)))
+        if x.pooling and x.type != "pooling" or x.type == "pooling" and not x.pooling:
+            raise SpecError(f"layer {x.name}: a pooling function and the type Pooling go together")
+        if x.type == "pooling" and x.batch_norm or x.kind == "input" and (x.type != "fullyconnected" or x.batch_norm):
+            raise SpecError(f"layer {x.name}: {x.kind} layers of this type take no kernel and no batch normalisation")
+        if x.type == "fullyconnected":
+            width = self.widths.setdefault(x.name, x.n or 0)
+            if not width:
+                raise SpecError(f"layer {x.name} has no width")
+            self.shapes[x.name] = x.shape if prod(x.shape or (0,)) == width else (width,)
+            return
+        if x.type == "convolutional" and not (x.kernel and x.n and len(x.kernel) < 4):
+            raise SpecError(f"layer {x.name}: a convolution needs a kernel of at most three axes and N")
+        found = set()
+        for s in x.sources:
+            whole = self.shapes[s] + (1,) * (4 - len(self.shapes[s]))
+            if x.pooling in ("dotproduct", "cosine"):
+                found.add(whole)
+            elif x.pooling in ("lrn", "maxout"):
+                found.add(whole)
+                if x.pooling == "lrn":
+                    last = max(i for i, v in enumerate(whole) if v > 1 or not i)  # channels are the last axis
+                    self.links[s, x.name] = kept(linked.channel_links(self.spark, prod(whole), prod(whole[:last])))
+            elif x.type == "pooling":
+                found.add(tuple(linked.places(*axis)[0] for axis in zip(whole, spatial, steps, strict=True)))
+                self.links[s, x.name] = kept(linked.window_links(self.spark, whole, spatial, steps))
+            else:
+                k = len(x.kernel)
+                found.add((*(linked.places(*axis)[0] for axis in zip(whole[:k], x.kernel, steps, strict=False)), x.n))
+                self.links[s, x.name] = kept(linked.window_links(self.spark, whole[:k], x.kernel, steps[:k], prod(whole[k:])))
+        if len(found) != 1:
+            raise SpecError(f"layer {x.name}: its sources have different shapes")
+        self.shapes[x.name] = (len(x.sources) - 1,) if x.pooling in ("dotproduct", "cosine") else found.pop()
+        self.widths[x.name] = prod(self.shapes[x.name])
+
+    def _kernel_rows(self, s: str, x: Layer) -> int:
+        return prod(x.kernel) * prod(self.shapes[s][len(x.kernel):])
+
+    def _channels(self, x: Layer) -> int:
+        """What has a bias each: the channels of a convolution, else the units."""
+        return x.n if x.type == "convolutional" else self.widths[x.name]
+
+    def _size(self, x: Layer) -> int:
+        return self.widths[x.name] // self._channels(x)
+
+    def _channel(self, x: Layer) -> Column:
+        return F.floor(F.col("unit") / F.lit(self._size(x))) if x.type == "convolutional" else F.col("unit")
+
+    def _units_of(self, x: Layer, of: DataFrame, *more: str) -> DataFrame:
+        """of(dst, ...) with a row for each unit of the channel dst."""
+        n = self._size(x)
+        return of.select(F.explode(F.sequence(F.col("dst") * n, F.col("dst") * n + (n - 1))).alias("unit"), *more)
+
+    def _share(self, x: Layer, y: Shared) -> None:
+        if y.source not in self.owner or self.owner[y.source][0] != y.source or y.source == (y.input, x.name):
+            raise SpecError(f"layer {x.name}: no edge {y.source} with weights of its own")
+
+        def sides(s: str, layer: Layer) -> tuple[int, int]:
+            return (self._kernel_rows(s, layer) if layer.type == "convolutional" else self.widths[s]), self._channels(layer)
+
+        if sides(y.input, x) != sides(y.source[0], self.spec.layer(y.source[1]))[:: -1 if y.transposed else 1]:
+            raise SpecError(f"layer {x.name}: shared weights of another shape")
+        self.owner[y.input, x.name] = (y.source, y.transposed)
+
+    def _weights(self, s: str, d: str) -> DataFrame:
+        edge, turned = self.owner[s, d]
+        return self._turned(self.weights[edge], turned)
+
+    @staticmethod
+    def _turned(t: DataFrame, turned: bool) -> DataFrame:
+        if not turned:
+            return t
+        return t.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in t.columns if c not in ("src", "dst")])
+
+    def forward(self, cells: DataFrame, train: bool = False, epoch: int = 0, nudged: dict | None = None, copies: int = 1, before: dict | None = None) -> dict[str, DataFrame]:
         """(sample, unit, a) of each layer. Samples without input cells have the biases alone.
 
+        before: takes (sample, unit, x) of the layers with batch normalisation, before it.
+
         nudged: for an edge (src, dst, by, copy), for a layer's biases (dst, by, copy): what is added to a
         weight for the samples of one copy, which are those with sample % copies = copy."""
         nudged, copy = nudged or {}, F.pmod("sample", F.lit(copies))
@@ -220,19 +360,29 @@ class Network:
                 given = denoise(cells, self.spec.denoise, epoch) if train and self.spec.denoise and x.sparse else cells
                 out[x.name] = given.select("sample", F.col("feature").cast("bigint").alias("unit"), F.col("value").alias("a"))
                 continue
-            z = None
-            for s in x.sources:
-                part = dense.dense_z(out[s], self.weights[s, x.name]).select("sample", "unit", F.col("z").alias("a"))
-                z = part if z is None else z.unionByName(part)
-                if (s, x.name) in nudged:
-                    moved = out[s].withColumn("copy", copy).withColumnRenamed("unit", "src").join(nudged[s, x.name], ["src", "copy"])
-                    z = z.unionByName(moved.select("sample", F.col("dst").alias("unit"), (F.col("a") * F.col("by")).alias("a")))
+            if x.type == "pooling":
+                sources = [out[s] for s in x.sources]
+                z = linked.pooled(x.pooling, sources, [self.links.get((s, x.name)) for s in x.sources])
+                every = samples.crossJoin(F.broadcast(self.spark.range(self.widths[x.name]).select(F.col("id").alias("unit"), F.lit(0.0).alias("a"))))
+            else:
+                z = None
+                for s in x.sources:
+                    part = self._sent(x, s, out[s], self._weights(s, x.name), "w")
+                    z = part if z is None else z.unionByName(part)
+                    edge, turned = self.owner[s, x.name]
+                    if edge in nudged:
+                        z = z.unionByName(self._sent(x, s, out[s].withColumn("copy", copy), self._turned(nudged[edge], turned), "by", ("copy",)))
+                every = samples.crossJoin(F.broadcast(self._units_of(x, self.biases[x.name], F.col("w").alias("a"))))
             for s in x.skips:
                 z = z.unionByName(out[s].select("sample", "unit", "a"))
-            every = samples.crossJoin(F.broadcast(self.biases[x.name].select(F.col("dst").alias("unit"), F.col("w").alias("a"))))
             if x.name in nudged:
-                every = every.unionByName(samples.withColumn("copy", copy).join(nudged[x.name], "copy").select("sample", F.col("dst").alias("unit"), F.col("by").alias("a")))
+                every = every.unionByName(samples.withColumn("copy", copy).join(self._units_of(x, nudged[x.name], "copy", F.col("by").alias("a")), "copy").select("sample", "unit", "a"))
             z = z.unionByName(every).groupBy("sample", "unit").agg(fixed_sum(F.col("a")).alias("x"))
+            if x.batch_norm:
+                z = kept(z) if train else z
+                if before is not None:
+                    before[x.name] = z
+                z = linked.normalised(z, self._channel(x), self._moments(x, z, train), self.scales[x.name], self.shifts[x.name])
             if x.activation == "softmax":
                 a = activations.softmax(z).select("sample", "unit", "a")
             else:
@@ -242,9 +392,31 @@ class Network:
                     a = dense.biased_dropout(a, x.dropout, x.activation, x.elu_alpha, x.selu_lambda, epoch)
                 else:
                     a = dense.dropout(a, x.dropout, 0.5 if x.activation == "sigmoid" else 0.0, epoch)
-            out[x.name] = kept(a) if train else a
+            out[x.name] = kept(a) if train or self._readers(x) > 1 else a
         return out
 
+    def _readers(self, x: Layer) -> int:
+        """How often other layers read x in a forward pass; what is read once need not be written."""
+        return sum(((1 + (y.pooling in ("dotproduct", "cosine", "lrn"))) * (x.name in y.sources)) + (x.name in y.skips) for y in self.spec.layers)
+
+    def _sent(self, x: Layer, s: str, units: DataFrame, weights: DataFrame, w: str, also: tuple[str, ...] = ()) -> DataFrame:
+        """(sample, unit, a): what a source adds to the units of x."""
+        if x.type == "convolutional":
+            return linked.convolved(units, self.links[s, x.name], weights, self._size(x), w, also)
+        cells = units.withColumnRenamed("unit", "src").join(weights, ["src", *also])
+        return cells.groupBy("sample", F.col("dst").alias("unit")).agg(fixed_sum(F.col("a") * F.col(w)).alias("a"))
+
+    def _moments(self, x: Layer, z: DataFrame, train: bool) -> DataFrame:
+        return linked.moments(z, self._channel(x)) if train else self.moments[x.name]
+
+    def _back(self, y: Layer, s: str, which: int, units: dict[str, DataFrame], deltas: DataFrame) -> DataFrame:
+        """(sample, unit, d): what y's deltas send back to its source s, its source number `which`."""
+        if y.type == "pooling":
+            return linked.pooled_back(y.pooling, [units[q] for q in y.sources], [self.links.get((q, y.name)) for q in y.sources], deltas, which)
+        if y.type == "convolutional":
+            return linked.convolved_back(deltas, self.links[s, y.name], self._weights(s, y.name), self._size(y))
+        return dense.back_delta(deltas, self._weights(s, y.name))
+
     def _grid(self, layer: Layer, units: dict[str, DataFrame], targets: DataFrame) -> DataFrame:
         t = targets.select("sample", F.col("feature").cast("bigint").alias("unit"), F.col("value").alias("t"))
         return units[layer.name].join(t, ["sample", "unit"], "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
@@ -275,10 +447,12 @@ class Network:
 
     def gradients(self, cells: DataFrame, targets: DataFrame, train: bool = False, epoch: int = 0) -> tuple[dict[tuple[str, str], DataFrame], dict[str, DataFrame], float]:
         """(src, dst, g) of each edge (negated batch mean), (dst, g) of each layer's biases, mean loss."""
-        units = self.forward(cells, train, epoch)
+        before: dict[str, DataFrame] = {}
+        units = {k: v if train or self.spec.layer(k).kind == "input" else kept(v) for k, v in self.forward(cells, train, epoch, before=before).items()}
         n = cells.select("sample").distinct().count()
         deltas: dict[str, DataFrame] = {}
         error, edges, biases = 0.0, {}, {}
+        self.norms: dict[str, tuple[DataFrame, DataFrame, DataFrame]] = {}
         for x in reversed(self.spec.order()):
             if x.kind == "input":
                 continue
@@ -289,9 +463,11 @@ class Network:
             else:
                 back = None
                 for y in self.spec.layers:
-                    for s in y.sources:
+                    if y.name not in deltas:
+                        continue
+                    for i, s in enumerate(y.sources):
                         if s == x.name:
-                            part = dense.back_delta(deltas[y.name], self.weights[s, y.name])
+                            part = self._back(y, s, i, units, deltas[y.name])
                             back = part if back is None else back.unionByName(part)
                     if x.name in y.skips:
                         back = deltas[y.name] if back is None else back.unionByName(deltas[y.name])
@@ -305,11 +481,22 @@ class Network:
                 d = back.join(units[x.name], ["sample", "unit"]).select("sample", "unit", (F.col("d") * f).alias("d"))
             if x.delta_norm:
                 d = losses.clip_norm(d, x.delta_norm)
+            if x.batch_norm:
+                d, scale, shift = linked.normalised_back(before[x.name], self._channel(x), d, self._moments(x, before[x.name], train), self.scales[x.name], max(1, n), train)
+                self.norms[x.name] = kept(scale), kept(shift), kept(linked.moments(before[x.name], self._channel(x)))
             deltas[x.name] = kept(d)
+            if x.type == "pooling":
+                continue
             for s in x.sources:
-                src = units[s].select("sample", F.col("unit").alias("src"), "a")
-                edges[s, x.name] = src.join(deltas[x.name], "sample").groupBy("src", F.col("unit").alias("dst")).agg((fixed_sum(F.col("a") * F.col("d")) * F.lit(-1.0 / max(1, n))).alias("g"))
-            biases[x.name] = dense.bias_gradient(deltas[x.name], max(1, n)).withColumnRenamed("unit", "dst")
+                if x.type == "convolutional":
+                    g = linked.kernel_gradient(units[s], self.links[s, x.name], deltas[x.name], self._size(x), max(1, n))
+                else:
+                    src = units[s].select("sample", F.col("unit").alias("src"), "a")
+                    g = src.join(deltas[x.name], "sample").groupBy("src", F.col("unit").alias("dst")).agg((fixed_sum(F.col("a") * F.col("d")) * F.lit(-1.0 / max(1, n))).alias("g"))
+                edge, turned = self.owner[s, x.name]
+                g = self._turned(g, turned).select("src", "dst", "g")
+                edges[edge] = edges[edge].unionByName(g).groupBy("src", "dst").agg(fixed_sum(F.col("g")).alias("g")) if edge in edges else g
+            biases[x.name] = dense.bias_gradient(deltas[x.name].withColumn("unit", self._channel(x)), max(1, n)).withColumnRenamed("unit", "dst")
         return edges, biases, error
 
     def train_batch(self, cells: DataFrame, targets: DataFrame, optimizer: str = "sgd", alpha: float = 0.1, mu: float = 0.9, l2: float = 0.0, l1: float = 0.0, epoch: int = 0) -> float:
@@ -323,6 +510,11 @@ class Network:
         for d, g in biases.items():
             state = self.biases[d].join(g, "dst", "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
             self.biases[d] = kept(optimizers.step(optimizer, state, alpha, mu, t=self.batches, bias=True))
+        for d, (scale, shift, batch) in self.norms.items():
+            for held, g in ((self.scales, scale), (self.shifts, shift)):
+                state = held[d].join(g, "dst", "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
+                held[d] = kept(optimizers.step(optimizer, state, alpha, mu, t=self.batches, bias=True))
+            self.moments[d] = kept(linked.running(self.moments[d], batch))
         self.batches += 1
         return error
 
@@ -369,17 +561,21 @@ class Network:
             scores = apply_filter(scores, filters)
         return topk(scores, k if k > 0 else self.widths[name]).select("sample", "rank", "idx", "score")
 
+    def _tables(self) -> list[tuple[dict, object, str]]:
+        """Where each table of the model's state is held, and its folder."""
+        out: list[tuple[dict, object, str]] = [(self.weights, e, f"weights/{e[0]}-{e[1]}") for e in self.weights]
+        for name in ("biases", "scales", "shifts", "moments"):
+            held = getattr(self, name)
+            out += [(held, d, f"{name}/{d}") for d in held]
+        return out
+
     def save(self, path: str) -> None:
-        for (s, d), w in self.weights.items():
-            w.write.mode("overwrite").parquet(f"{path}/weights/{s}-{d}")
-        for d, b in self.biases.items():
-            b.write.mode("overwrite").parquet(f"{path}/biases/{d}")
+        for held, key, name in self._tables():
+            held[key].write.mode("overwrite").parquet(f"{path}/{name}")
 
     def load(self, path: str) -> Network:
-        for s, d in self.weights:
-            self.weights[s, d] = self.spark.read.parquet(f"{path}/weights/{s}-{d}")
-        for d in self.biases:
-            self.biases[d] = self.spark.read.parquet(f"{path}/biases/{d}")
+        for held, key, name in self._tables():
+            held[key] = self.spark.read.parquet(f"{path}/{name}")
         return self
 
 

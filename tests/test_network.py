@@ -139,7 +139,7 @@ def test_epochs_differ_and_share_one_brake(spark):
 
 
 def test_what_a_network_does_not_run_is_an_error(spark):
-    for extra in ({"Pooling": "Max"}, {"BatchNormalization": True}):
+    for extra in ({"Pooling": "Max"}, {"Type": "Pooling"}):
         layers = [SMALL["Layers"][0], {**SMALL["Layers"][1], **extra}, SMALL["Layers"][2]]
         with pytest.raises(nn.SpecError, match="Hidden"):
             nn.Network(spark, spec(Layers=layers), {})
