@@ -112,3 +112,16 @@ def test_blocked_products_agree(spark):
     one = sorted(map(tuple, rank.topk_products(q, items, 7).collect()))
     many = sorted(map(tuple, rank.topk_products(q, items, 7, most_items=9).collect()))
     assert one == many and len(one) == 42
+
+
+def test_a_cluster_needs_a_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from cellweave.functions.tables import shared_folder
+
+    def session(where, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: where), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("/shared/", "spark://host:7077")) == "/shared"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(session(None, "spark://host:7077"))
