@@ -22,7 +22,8 @@ def ensure_workers_import(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The cluster's spark.checkpoint.dir; where none is set one of our own if all runs on one machine, as in
+    tests, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="cellweave-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
