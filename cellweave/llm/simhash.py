@@ -155,7 +155,12 @@ def pairs_within(n: int, both: np.ndarray, group: list[int], most: int) -> list[
 ROW_COST = 400.0
 
 
-def thresholds(n: int, both: np.ndarray, groups: list[list[int]], bits: int) -> tuple[float, list[int]]:
+def rows_of(group: list[int], t: int) -> int:
+    """Rows of a node in a partition of threshold t: itself and its flips of up to t bits."""
+    return sum(math.comb(len(group), d) for d in range(t + 1))
+
+
+def thresholds(n: int, both: np.ndarray, groups: list[list[int]], bits: int, row_cost: float = ROW_COST) -> tuple[float, list[int]]:
     """Least estimated cost and the thresholds t_i >= -1 with sum(t_i + 1) = bits + 1."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for g in groups:
@@ -165,23 +170,23 @@ def thresholds(n: int, both: np.ndarray, groups: list[list[int]], bits: int) ->
             for t in range(-1, bits + 1):
                 if used + t + 1 > bits + 1:
                     break
-                rows = 0 if t < 0 else sum(math.comb(len(g), d) for d in range(t + 1))
+                rows = rows_of(g, t)
                 if rows > 20_000:
                     break
-                c = cost + (n * rows * ROW_COST + (1 + (t > 0)) * found[t] if t >= 0 else 0)
+                c = cost + (n * rows * row_cost + (1 + (t > 0)) * found[t] if t >= 0 else 0)
                 if used + t + 1 not in nxt or c < nxt[used + t + 1][0]:
                     nxt[used + t + 1] = (c, [*ts, t])
         best = nxt
     return best.get(bits + 1, (math.inf, []))
 
 
-def plan_partitions(n: int, both: np.ndarray, bits: int) -> list[tuple[list[int], int]]:
+def plan_partitions(n: int, both: np.ndarray, bits: int, row_cost: float = ROW_COST) -> list[tuple[list[int], int]]:
     """(bits of the partition, threshold) with the least estimated cost over 1 to bits + 2 partitions."""
     n = max(1, n)
     best: tuple[float, list] = (math.inf, [])
     for m in range(1, min(64, bits + 2) + 1):
         groups = group_bits(n, both, m)
-        cost, ts = thresholds(n, both, groups, bits)
+        cost, ts = thresholds(n, both, groups, bits, row_cost)
         if cost < best[0]:
             best = (cost, [(g, t) for g, t in zip(groups, ts, strict=True) if t >= 0])
     return best[1]
@@ -200,12 +205,22 @@ def meet_chance(plan: list[tuple[list[int], int]], p: float) -> float:
     return 1 - miss
 
 
-def plan_for(n: int, both: np.ndarray, similar: float, recall: float) -> list[tuple[list[int], int]]:
-    """The plan of the smallest radius in which pairs at `similar` meet with the chance `recall`."""
-    for bits in range(64):
-        plan = plan_partitions(n, both, bits)
-        if meet_chance(plan, differing(similar)) >= recall:
-            return plan
+def plan_for(n: int, both: np.ndarray, similar: float, recall: float, most_rows: int = 24) -> list[tuple[list[int], int]]:
+    """The plan of the smallest radius in which pairs at `similar` meet with the chance `recall`.
+
+    A node has at most most_rows rows however many nodes there are, as these rows are what is shuffled:
+    rows count for more until a plan has no more. Where no such plan reaches the recall, rows are unbounded."""
+    for most in (most_rows, math.inf):
+        for bits in range(64):
+            cost = ROW_COST
+            plan = plan_partitions(n, both, bits, cost)
+            while sum(rows_of(g, t) for g, t in plan) > most and cost < 1e15:
+                cost *= 32
+                plan = plan_partitions(n, both, bits, cost)
+            if meet_chance(plan, differing(similar)) >= recall and sum(rows_of(g, t) for g, t in plan) <= most:
+                return plan
+            if bits >= most:  # a plan has bits + 1 rows at least
+                break
     return plan
 
 
@@ -227,7 +242,7 @@ def _signatures(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     return fps.select("*", F.explode(F.array(*probes)).alias("s")).select(F.col("s.part").alias("part"), F.col("fp").bitwiseAND(F.col("s.mask")).bitwiseXOR(F.col("s.flip")).alias("key"), F.col("s.role").alias("role"), *fps.columns)
 
 
-_TILE = 1024
+_TILE = 512  # pairs of fingerprints that stay in a core's cache
 
 
 def _links_of(batches: Iterator[pa.RecordBatch], bits: int, wide: int, wide_bits: int) -> Iterator[pa.RecordBatch]:
@@ -243,7 +258,8 @@ def _links_of(batches: Iterator[pa.RecordBatch], bits: int, wide: int, wide_bits
         for r in range(0, len(x[0]), _TILE):
             for s in range(0, len(y[0]), _TILE):
                 (p, pn, pw), (q, qn, qw) = (v[r : r + _TILE] for v in x), (v[s : s + _TILE] for v in y)
-                i, j = np.nonzero(np.bitwise_count(p[:, None] ^ q[None, :]) <= bits)
+                # places of a flat array are found several times faster than those of two dimensions
+                i, j = np.divmod(np.flatnonzero(np.bitwise_count(p[:, None] ^ q[None, :]) <= bits), len(q))
                 other = pn[i] != qn[j]
                 i, j = i[other], j[other]
                 if wide and len(i):
@@ -464,14 +480,15 @@ def confirmed_links(held: DataFrame, similar: float, block_bytes: int) -> DataFr
     return found.unionByName(_compared(dealt, similar))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, prints: int = 6, all_bits: int = 80, similar: float = 0.8, recall: float = 0.995, block: int = 16384, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, prints: int = 6, all_bits: int = 80, similar: float = 0.8, recall: float = 0.995, block: int = 131_072, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) per row of docs, whose ids must be distinct and not null. Groups are joined
     by pairs whose shingle sets have a Jaccard similarity of at least `similar`, computed exactly.
 
     Candidates meet in a partition of the first fingerprint and are within all_bits of all fingerprints;
     they only say which texts are looked at. The plan's radius is the smallest in which pairs at
     `similar` meet with the chance `recall` (for independent bits; the chance grows with the
-    similarity). Texts with equal sets are one node. Within what candidates connect all pairs are compared."""
+    similarity). A row for a candidate search has about 64 bytes, so a block of them 8 MB. Texts with equal
+    sets are one node. Within what candidates connect all pairs are compared."""
     held = as_documents(docs, id_col, text_col)
     known = materialise(set_prints(held, words, prints), "set-prints")
     nodes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints")), "set-nodes")

@@ -1,11 +1,14 @@
 """The corpus pipeline and its stages on small tables, against brute force."""
+import inspect
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from cellweave.llm.simhash import similar_groups
+from cellweave.llm.simhash import differing, meet_chance, plan_for, similar_groups
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -150,3 +153,14 @@ def test_stages_with_nulls_clashing_columns_and_empty_tables(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     pieces = corpus_pipeline.packing(spark, docs, str(tmp_path))
     assert pieces.where("length = 1 AND doc_tokens = 1").count() == 2 and corpus_pipeline.packing(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("n", [250_000, 3_000_000, 15_000_000])
+def test_rows_of_a_node_stay_few_as_the_corpus_grows(n):
+    """The candidate search shuffles a row for each probe: a node's rows, and the copies of a bucket's blocks, are bounded."""
+    plan = plan_for(n, n * (np.full((64, 64), 0.25) + 0.25 * np.eye(64)), 0.8, 0.995)
+    assert sum(math.comb(len(g), d) for g, t in plan for d in range(t + 1)) <= 24
+    assert meet_chance(plan, differing(0.8)) >= 0.995
+    assert sorted(b for g, _ in plan for b in g) == list(range(64))
+    block = inspect.signature(similar_groups).parameters["block"].default
+    assert sum(math.ceil(n / 2 ** len(g) / block) for g, _ in plan) <= 48
