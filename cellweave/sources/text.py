@@ -120,15 +120,29 @@ def ratings_to_lines(ratings: DataFrame) -> DataFrame:
     return lists.select(F.concat(F.col("userId").cast("string"), F.lit("\t"), F.array_join(F.transform("l", lambda x: x["s"]), ":")).alias("value"))
 
 
+def three_decimals(x: Column) -> Column:
+    """x as C's `%.3f` writes it: by the binary value, a true half to even. Java rounds a double's shortest
+    decimal form, half up, so 0.4165 (a little less in binary) would be 0.417. From 4e12 on Java's form stays."""
+    v = F.abs(x)
+    p, c = v * F.lit(1000.0), v * F.lit(134217729.0)
+    high = c - (c - v)  # the upper 26 bits: both parts times 1000 are exact
+    error = (high * F.lit(1000.0) - p) + (v - high) * F.lit(1000.0)  # v * 1000 = p + error
+    n = F.floor(p)
+    half = p - n.cast("double") - F.lit(0.5)
+    m = n + F.when((half > 0) | (half == 0) & ((error > 0) | (error == 0) & (F.pmod(n, F.lit(2)) == 1)), 1).otherwise(0)
+    digits = F.concat(F.floor(m / F.lit(1000)).cast("string"), F.lit("."), F.lpad(F.pmod(m, F.lit(1000)).cast("string"), 3, "0"))
+    return F.when(v < F.lit(4e12), F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), digits)).otherwise(F.format_string("%.3f", x))
+
+
 def format_recs(recs: DataFrame, sample: str = "sample", label: str = "label", score: str = "score", rank: str = "rank") -> DataFrame:
     """(value): `sample \\t label,score:label,score:` with three decimals and a last colon."""
-    item = F.concat(F.col(label).cast("string"), F.lit(","), F.format_string("%4.3f", F.col(score).cast("double")), F.lit(":"))
+    item = F.concat(F.col(label).cast("string"), F.lit(","), three_decimals(F.col(score).cast("double")), F.lit(":"))
     lists = recs.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), item.alias("s")))).alias("l"))
     return lists.select(F.concat(F.col(sample).cast("string"), F.lit("\t"), F.array_join(F.transform("l", lambda x: x["s"]), "")).alias("value"))
 
 
 def format_neighbors(found: DataFrame, keys_only: bool = False) -> DataFrame:
     """(value): `query \\t key:score key:score` (or keys alone) from found(query, rank, key, score)."""
-    item = F.col("key").cast("string") if keys_only else F.concat(F.col("key").cast("string"), F.lit(":"), F.format_string("%.3f", F.col("score").cast("double")))
+    item = F.col("key").cast("string") if keys_only else F.concat(F.col("key").cast("string"), F.lit(":"), three_decimals(F.col("score").cast("double")))
     lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("s")))).alias("l"))
     return lists.select(F.concat(F.col("query").cast("string"), F.lit("\t"), F.array_join(F.transform("l", lambda x: x["s"]), " ")).alias("value"))

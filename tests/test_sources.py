@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,18 @@ def test_blocked_products_agree(spark):
     assert one == many and len(one) == 42
 
 
+def test_scores_are_written_by_their_binary_value(spark):
+    """As printf does: 0.4165 and 0.3735 lie below the half, sixteenths are true halves."""
+    rng = random.Random(4)
+    scores = [0.4165, 0.3735, 0.0005, 0.0015, 0.0625, 0.1875, 1.0625, 2.0005, 0.9995, 0.99951, 0.0, -0.0, -0.0004, -0.4165, 1.0, 123456.7895, 3e12, 0.5]
+    scores += [round(rng.uniform(-1, 1), 4) for _ in range(2000)] + [rng.uniform(-2000, 2000) for _ in range(500)] + [rng.randrange(-99999, 99999) / 16 for _ in range(500)]
+    found = spark.createDataFrame([(i, 1, i, s) for i, s in enumerate(scores)], "query bigint, rank int, key bigint, score double")
+    got = {r["value"] for r in text.format_neighbors(found).collect()}
+    assert got == {f"{i}\t{i}:{s:.3f}" for i, s in enumerate(scores)}
+    got = {r["value"] for r in text.format_recs(found, "query", "key").collect()}
+    assert got == {f"{i}\t{i},{s:.3f}:" for i, s in enumerate(scores)}
+
+
 def test_a_cluster_needs_a_shared_folder(spark, tmp_path):
     from types import SimpleNamespace
 
