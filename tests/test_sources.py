@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -116,6 +117,30 @@ def test_blocked_products_agree(spark):
     assert one == many and len(one) == 42
 
 
+@pytest.mark.parametrize("most_items", [200_000, 30, 5])
+def test_equal_items_are_multiplied_once(spark, most_items):
+    """Items of a few kinds: a product for each kind, the rows of all products; filters may take whole kinds."""
+    rng = random.Random(7)
+    kinds = [([rng.choice([-1.0, 0.5, 2.0]), float(i)], float(i % 2)) for i in range(7)] + [([9.0, 9.0], 0.0)]
+    items = [(j, *kinds[rng.randrange(7)]) for j in range(300)] + [(300, *kinds[7]), (301, *kinds[7])]
+    queries = []
+    for i in range(40):
+        skip = sorted({*rng.sample(range(302), rng.choice([0, 3, 60, 290])), *([300, 301] if i % 3 else [])})
+        queries.append((i, [rng.uniform(-1, 1), rng.uniform(-1, 1)], skip, [rng.choice([0.0, 0.5, 1.5]) for _ in skip]))
+    q = spark.createDataFrame(queries, "sample bigint, vec array<double>, skip array<bigint>, factor array<double>")
+    table = spark.createDataFrame(items, "idx bigint, vec array<double>, b double")
+    got = sorted(map(tuple, rank.topk_products(q, table, 11, "sigmoid", most_items=most_items).collect()))
+    want = []
+    for i, v, skip, factor in queries:
+        f = dict(zip(skip, factor, strict=True))
+        best = sorted((-round(f.get(j, 1.0) / (1 + math.exp(-(v[0] * w[0] + v[1] * w[1] + b))), 6), j) for j, w, b in items)[:11]
+        want += [(i, at + 1, j, -s) for at, (s, j) in enumerate(best)]
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert max(abs(x[3] - y[3]) for x, y in zip(got, want, strict=True)) < 2e-6
+    if most_items > 8:
+        assert {len(b.mat) for b in rank._blocks(table, most_items)} <= {7, 8}
+
+
 def test_scores_are_written_by_their_binary_value(spark):
     """As printf does: 0.4165 and 0.3735 lie below the half, sixteenths are true halves."""
     rng = random.Random(4)
